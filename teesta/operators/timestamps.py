@@ -47,7 +47,7 @@ MICROS = 1_000_000
 def cleaned(value: Column) -> Column:
     """Trimmed, lower case, digits of Indian scripts as ASCII."""
     v = F.translate(value, DEVANAGARI_DIGITS + BENGALI_DIGITS + ODIA_DIGITS, "0123456789" * 3)
-    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(v, r"[  ‎‏]", " ")), r"\s+", " "))
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(v, r"[\u00a0\u202f\u200e\u200f]", " ")), r"\s+", " "))
 
 
 def _number(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from teesta.operators.donors import cells_without_value
 from teesta.operators.gridfill import missing_periods
 from teesta.operators.spikes import suspect_readings
 from teesta.operators.timestamps import irregular_instants
@@ -20,3 +21,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return suspect_readings(table(spark, d, "station_observation"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return cells_without_value(table(spark, d, "hmis_row"))

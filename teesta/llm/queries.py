@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from teesta.llm.leakage import find_leaks
 from teesta.llm.packing import divided_documents, packing_report
+from teesta.llm.spans import document_pairs, shared_amounts
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -26,8 +27,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(_t(spark, d, "documents"), _t(spark, d, "eval_item"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return document_pairs(_t(spark, d, "documents"))
+
+
+def p10_shared_amounts(spark: SparkSession, d: str) -> DataFrame:
+    return shared_amounts(_t(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_found, p8_report, p9_found)}
+    return {f.__name__: f for f in (p8_found, p8_report, p9_found, p10_found, p10_shared_amounts)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -35,9 +44,9 @@ def oracle_sql() -> dict[str, str]:
         "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 8192",
         "p9_found": r"""
             WITH w AS (
-              SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{M}\p{Nd}\s]', '', 'g'), '\s+'), x -> x <> '') AS ws FROM documents
+              SELECT 'd' AS side, doc_id AS id, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{M}\p{Nd}\s]', '', 'g'), '\s+'), lambda x: x <> '') AS ws FROM documents
               UNION ALL
-              SELECT 'i', item_id, list_filter(string_split_regex(regexp_replace(lower(item_text), '[^\p{L}\p{M}\p{Nd}\s]', '', 'g'), '\s+'), x -> x <> '') FROM eval_item),
+              SELECT 'i', item_id, list_filter(string_split_regex(regexp_replace(lower(item_text), '[^\p{L}\p{M}\p{Nd}\s]', '', 'g'), '\s+'), lambda x: x <> '') FROM eval_item),
             r AS (SELECT side, id, array_to_string(ws[i : i + 11], ' ') AS run FROM (SELECT side, id, ws, unnest(range(1, len(ws) - 10)) AS i FROM w))
             SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM r d JOIN r i ON d.side = 'd' AND i.side = 'i' AND d.run = i.run""",
     }

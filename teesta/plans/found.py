@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from teesta.operators.donors import cells_without_value
-from teesta.operators.gridfill import missing_periods
-from teesta.operators.spikes import suspect_readings
+from teesta.operators.donors import cells_without_value, filled_health_rows
+from teesta.operators.gridfill import climate_grid, missing_periods
+from teesta.operators.spikes import flag_spikes, suspect_readings
 from teesta.operators.timestamps import irregular_instants
 from teesta.sources.tables import table
 
@@ -25,3 +26,53 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return cells_without_value(table(spark, d, "hmis_row"))
+
+
+def p1_grid(spark: SparkSession, d: str) -> DataFrame:
+    """How many periods of each series are observed and filled, and the observed total."""
+    g = climate_grid(table(spark, d, "weekly_climate"), table(spark, d, "recent_vintage"))
+    return g.groupBy("series_name", "grid_state").agg(F.count(F.lit(1)).alias("periods"), F.round(F.sum(F.when(F.col("grid_state") == "observed", F.col("value"))), 3).alias("observed_total"))
+
+
+def p2_spikes(spark: SparkSession, d: str) -> DataFrame:
+    return flag_spikes(table(spark, d, "station_observation"))
+
+
+def p6_filled(spark: SparkSession, d: str) -> DataFrame:
+    return filled_health_rows(table(spark, d, "hmis_row"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_spikes, p5_found, p6_found, p6_filled)}
+
+_DAYS = """
+  e AS (SELECT point_id, first_day + unnest(range(len(daily_rain_mm)))::INT AS day, unnest(daily_rain_mm) AS v FROM weekly_climate),
+  u AS (SELECT DISTINCT point_id, day::DATE AS day FROM e WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v >= 0),
+  g AS (SELECT point_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM u GROUP BY point_id),
+  fu AS (SELECT DISTINCT point_id, date_trunc('week', timezone('UTC', retrieved_at))::DATE AS day FROM recent_vintage WHERE fill_days >= 0),
+  fg AS (SELECT point_id, unnest(generate_series(min(day), max(day), INTERVAL 7 DAY))::DATE AS day FROM fu GROUP BY point_id)"""
+
+ORACLE = {
+    "p1_found": f"""WITH {_DAYS}
+      SELECT 'daily_rain_mm' AS series_name, point_id, strftime(day, '%Y-%m-%d') AS period_day FROM (FROM g EXCEPT FROM u)
+      UNION ALL SELECT 'fill_days', point_id, strftime(day, '%Y-%m-%d') FROM (FROM fg EXCEPT FROM fu)""",
+    "p2_found": """
+      WITH l AS (UNPIVOT (SELECT obs_id, station, reading_no, rainfall_mm, temperature_c, relative_humidity_pct FROM station_observation)
+                 ON rainfall_mm, temperature_c, relative_humidity_pct INTO NAME f VALUE v),
+      d AS (SELECT station, reading_no, f, arg_min(v, obs_id) AS v FROM l WHERE v IS NOT NULL GROUP BY ALL),
+      a AS (SELECT obs_id, f FROM l WHERE (f = 'rainfall_mm' AND v NOT BETWEEN 0 AND 500) OR (f = 'temperature_c' AND v NOT BETWEEN -10 AND 55) OR (f = 'relative_humidity_pct' AND v NOT BETWEEN 0 AND 100)),
+      r AS (SELECT *, sum(CASE WHEN v IS DISTINCT FROM pv THEN 1 ELSE 0 END) OVER (PARTITION BY station, f ORDER BY reading_no) AS run
+            FROM (SELECT *, lag(v) OVER (PARTITION BY station, f ORDER BY reading_no) AS pv FROM d)),
+      b AS (SELECT station, reading_no, f FROM (SELECT *, count(*) OVER (PARTITION BY station, f, run) AS n FROM r) WHERE n >= 8 AND v <> 0),
+      m AS (SELECT station, f, median(v) AS m FROM d WHERE f <> 'rainfall_mm' GROUP BY ALL),
+      mad AS (SELECT station, f, m, median(abs(v - m)) AS s FROM d JOIN m USING (station, f) GROUP BY ALL),
+      wet AS (SELECT station, f, median(v) AS m FROM d WHERE f = 'rainfall_mm' AND v > 0 GROUP BY ALL)
+      SELECT DISTINCT obs_id, f AS field_name FROM (
+        FROM a UNION ALL SELECT obs_id, f FROM l JOIN b USING (station, reading_no, f)
+        UNION ALL SELECT obs_id, f FROM l JOIN mad USING (station, f) WHERE abs(v - m) > 6 * s
+        UNION ALL SELECT obs_id, f FROM l JOIN wet USING (station, f) WHERE v > 5 * m)""",
+    "p6_found": """
+      SELECT row_id, 'malaria_tests' AS field_name FROM hmis_row WHERE malaria_tests IS NULL OR malaria_tests < 0 OR malaria_tests >= 99999 OR (malaria_tests = 0 AND malaria_positive_records > 0)
+      UNION ALL SELECT row_id, 'malaria_test_positivity' FROM hmis_row WHERE malaria_test_positivity IS NULL OR isnan(malaria_test_positivity) OR malaria_test_positivity NOT BETWEEN 0 AND 1
+      UNION ALL SELECT row_id, 'dengue_positive_records' FROM hmis_row WHERE dengue_positive_records IS NULL OR dengue_positive_records < 0 OR dengue_positive_records >= 9999
+      UNION ALL SELECT row_id, 'district_name' FROM hmis_row WHERE district_name IS NULL OR lower(trim(district_name)) IN ('', '-', 'na', 'n/a', 'unknown', 'null', 'none')""",
+}

@@ -10,6 +10,7 @@ from teesta.llm.langid import wrong_labels
 from teesta.llm.leakage import find_leaks
 from teesta.llm.packing import divided_documents, packing_report
 from teesta.llm.pii import personal_items
+from teesta.llm.scans import scanning_traces
 from teesta.llm.spans import document_pairs, shared_amounts
 
 
@@ -25,6 +26,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return personal_items(_t(spark, d, "redacted_signal"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanning_traces(_t(spark, d, "redacted_signal"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return divided_documents(_t(spark, d, "documents"))
 
@@ -46,7 +51,7 @@ def p10_shared_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p4_found, p8_found, p8_report, p9_found, p10_found, p10_shared_amounts)}
+    return {f.__name__: f for f in (p3_found, p4_found, p7_found, p8_found, p8_report, p9_found, p10_found, p10_shared_amounts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teesta.plans import found
+from teesta.plans import found, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (found,)
+MODULES = (found, relational)
 
 
 def queries() -> dict[str, Query]:

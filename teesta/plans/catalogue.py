@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teesta.plans import found, relational
+from teesta.plans import found, panels, relational, statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (found, relational)
+MODULES = (found, relational, panels, statistics)
 
 
 def queries() -> dict[str, Query]:

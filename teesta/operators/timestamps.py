@@ -200,14 +200,15 @@ def normalise_timestamps(rows: DataFrame, registry: DataFrame, key: str, source:
 
 def irregular_instants(station_observation: DataFrame, district_warning: DataFrame, source_snapshot: DataFrame, registry: DataFrame) -> DataFrame:
     """record_table, record_key, utc_micros of each time not written in the canonical form."""
-    out = None
+    rows = None
     for name, df, key, value, context in (
         ("station_observation", station_observation, "obs_id", "observed_at", "observed_on"),
         ("district_warning", district_warning, "warning_id", "updated_at", "issued_for_date"),
         ("source_snapshot", source_snapshot, "snapshot_id", "retrieved_at", None),
     ):
         odd = df.where(F.col(value).isNotNull() & ~F.col(value).rlike(CANONICAL))
-        n = normalise_timestamps(odd, registry, key, "source_id", value, context).where(F.col("utc_micros").isNotNull())
-        part = n.select(F.lit(name).alias("record_table"), F.col(key).cast("string").alias("record_key"), "utc_micros")
-        out = part if out is None else out.unionByName(part)
-    return out
+        day = F.to_date(F.col(context)) if context else F.lit(None).cast("date")
+        part = odd.select(F.struct(F.lit(name).alias("record_table"), F.col(key).cast("string").alias("record_key")).alias("record"), "source_id", F.col(value).alias("written"), day.alias("near"))
+        rows = part if rows is None else rows.unionByName(part)
+    found = normalise_timestamps(rows, registry, "record", "source_id", "written", "near")
+    return found.where(F.col("utc_micros").isNotNull()).select("record.record_table", "record.record_key", "utc_micros")

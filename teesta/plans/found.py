@@ -70,6 +70,25 @@ ORACLE = {
         FROM a UNION ALL SELECT obs_id, f FROM l JOIN b USING (station, reading_no, f)
         UNION ALL SELECT obs_id, f FROM l JOIN mad USING (station, f) WHERE abs(v - m) > 6 * s
         UNION ALL SELECT obs_id, f FROM l JOIN wet USING (station, f) WHERE v > 5 * m)""",
+    "p5_found": r"""
+      WITH raw AS (
+        SELECT 'station_observation' AS record_table, obs_id::VARCHAR AS record_key, source_id, observed_at AS t FROM station_observation
+        UNION ALL SELECT 'district_warning', warning_id::VARCHAR, source_id, updated_at FROM district_warning
+        UNION ALL SELECT 'source_snapshot', snapshot_id, source_id, retrieved_at FROM source_snapshot),
+      odd AS (SELECT record_table, record_key, time_zone AS tz, date_order AS o, trim(translate(t, '०१२३४५६७८९০১২৩৪৫৬৭৮৯୦୧୨୩୪୫୬୭୮୯', '012345678901234567890123456789')) AS t
+              FROM raw JOIN source_registry USING (source_id) WHERE t IS NOT NULL AND NOT regexp_matches(t, '^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$')),
+      zone AS (SELECT *, CASE WHEN regexp_matches(t, '^\d{10,13}$') THEN '' WHEN regexp_matches(t, '[+-]\d\d:?\d\d$') AND regexp_matches(t, ':\d\d') THEN regexp_extract(t, '([+-]\d\d:?\d\d)$', 1)
+                        WHEN regexp_matches(t, '[zZ]$') THEN '+00:00' ELSE CASE regexp_extract(t, ' ([A-Z]{3,4})$', 1) WHEN 'UTC' THEN '+00:00' WHEN 'IST' THEN '+05:30' WHEN 'CET' THEN '+01:00' WHEN 'CEST' THEN '+02:00' WHEN 'EDT' THEN '-04:00' WHEN 'EST' THEN '-05:00' END END AS z FROM odd),
+      bare AS (SELECT *, replace(regexp_replace(regexp_replace(regexp_replace(t, '(T[\d:.]+|:\d\d) ?[+-]\d\d:?\d\d$', '\1'), '[zZ]$', ''), ' (UTC|IST|CET|CEST|EDT|EST|hrs)$', ''), ',', '.') AS b FROM zone),
+      naive AS (SELECT *, coalesce(
+          try_strptime(upper(b), ['%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y%m%dT%H%M%S', '%Y/%m/%d %H:%M', '%Y/%m/%d %I:%M %p']),
+          try_strptime(b, ['%d-%b-%y %H%M', '%a. %d %b %Y %H:%M:%S', '%d %b %Y %H:%M:%S', '%B %d. %Y %H:%M:%S']),
+          CASE WHEN o = 'mdy' THEN try_strptime(b, ['%m/%d/%Y %I:%M %p', '%m/%d/%Y %H:%M']) ELSE try_strptime(b, ['%d/%m/%Y %I:%M %p', '%d/%m/%Y %H:%M']) END) AS n FROM bare)
+      SELECT record_table, record_key, CASE
+          WHEN regexp_matches(t, '^\d{10}$') THEN t::BIGINT * 1000000 WHEN regexp_matches(t, '^\d{13}$') THEN t::BIGINT * 1000
+          WHEN z IS NOT NULL THEN epoch_us(n) - (CASE WHEN z[1] = '-' THEN -1 ELSE 1 END) * (z[2:3]::BIGINT * 60 + right(z, 2)::BIGINT) * 60000000
+          ELSE epoch_us(timezone(tz, n)) END AS utc_micros
+      FROM naive WHERE n IS NOT NULL OR regexp_matches(t, '^\d{10,13}$')""",
     "p6_found": """
       SELECT row_id, 'malaria_tests' AS field_name FROM hmis_row WHERE malaria_tests IS NULL OR malaria_tests < 0 OR malaria_tests >= 99999 OR (malaria_tests = 0 AND malaria_positive_records > 0)
       UNION ALL SELECT row_id, 'malaria_test_positivity' FROM hmis_row WHERE malaria_test_positivity IS NULL OR isnan(malaria_test_positivity) OR malaria_test_positivity NOT BETWEEN 0 AND 1

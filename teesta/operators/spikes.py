@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from teesta.functions.harmonic import fit_normal_equations, harmonic_features, predict
 from teesta.functions.stage import settle
+from teesta.session import cut as checkpointed
 
 
 @dataclass(frozen=True)
@@ -88,23 +89,34 @@ def tail_cutoffs(readings: DataFrame, middle: DataFrame, fields: Mapping[str, Fi
     moments, for which counts, sums and sums of squares of the excesses suffice.
     Residuals of implausible readings don't enter a fit.
     """
-    long = readings.select("_src", "_t", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.when(F.col(f).between(r.low, r.high), F.col(f)).alias("_v"), F.lit(r.factor).alias("_k")) for f, r in fields.items()]))).where(F.col("_v").isNotNull())
+    plausible = lambda f, r: F.when(F.col(f).between(r.low, r.high), F.col(f))
+    long = readings.select("_src", "_t", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), plausible(f, r).alias("_v")) for f, r in fields.items()]))).where(F.col("_v").isNotNull())
     season = harmonic_features(F.coalesce("_t", F.lit(0.0)), season_days, 1, 3652.5)
     beta = fit_normal_equations(long, ["_src", "_field"], "_v", season, ridge=1e-2).select("_src", "_field", "beta")
-    model = middle.join(beta, ["_src", "_field"], "left")
-    r = long.join(model, ["_src", "_field"])
-    r = r.select("_src", "_field", F.abs(F.col("_v") - F.coalesce(predict(F.col("beta"), season), F.col("centre"))).alias("_e"), (F.col("_k") * F.col("yardstick")).alias("_rule"))
-    cut = r.groupBy("_src", "_field").agg(F.percentile_approx("_e", 1 - tail_share, 1000).alias("_q"), F.min("_rule").alias("_rule"), F.count(F.lit(1)).alias("_n")).select("_src", "_field", F.least("_q", "_rule").alias("threshold"), "_n")
-    x = r.join(cut, ["_src", "_field"]).where(F.col("_e") > F.col("threshold")).withColumn("_x", F.col("_e") - F.col("threshold"))
-    m = x.groupBy("_src", "_field").agg(F.avg("_x").alias("_m"), F.var_samp("_x").alias("_s2"), F.count(F.lit(1)).alias("_peaks"))
+    model = checkpointed(middle.join(beta, ["_src", "_field"], "left"))
+    # From here on a reading is one row with all its fields, held beside one row of its source.
+    m = {f: F.col("_m")[f] for f in fields}
+    e = readings.join(_by_source(model, "_m"), "_src").select("_src", *[F.abs(plausible(f, r) - F.coalesce(predict(m[f]["beta"], season), m[f]["centre"])).alias(f"_e_{f}") for f, r in fields.items()])
+    q = e.groupBy("_src").agg(*[x for f in fields for x in (F.percentile_approx(f"_e_{f}", 1 - tail_share, 1000).alias(f"_q_{f}"), F.count(f"_e_{f}").alias(f"_n_{f}"))])
+    q = q.select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f"_q_{f}").alias("_q"), F.col(f"_n_{f}").alias("_n"), F.lit(float(r.factor)).alias("_k")) for f, r in fields.items()])))
+    cutoff = checkpointed(q.join(model, ["_src", "_field"]).where(F.col("_n") > 0).select("_src", "_field", F.least("_q", F.col("_k") * F.col("yardstick")).alias("threshold"), "_n"))
+    t = {f: F.col("_c")[f]["threshold"] for f in fields}
+    x = e.join(_by_source(cutoff, "_c"), "_src").select("_src", *[F.when(F.col(f"_e_{f}") > t[f], F.col(f"_e_{f}") - t[f]).alias(f"_x_{f}") for f in fields])
+    w = x.groupBy("_src").agg(*[y for f in fields for y in (F.avg(f"_x_{f}").alias(f"_m_{f}"), F.var_samp(f"_x_{f}").alias(f"_s2_{f}"), F.count(f"_x_{f}").alias(f"_p_{f}"))])
+    g = w.select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f"_m_{f}").alias("_m"), F.col(f"_s2_{f}").alias("_s2"), F.col(f"_p_{f}").alias("_peaks")) for f in fields]))).where(F.col("_peaks") > 0)
     ratio = F.col("_m") * F.col("_m") / F.when(F.col("_s2") > 0, F.col("_s2"))
     shape = F.coalesce(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (1 - ratio))), F.lit(0.0))
-    scale = F.col("_m") * (1 - F.col("shape"))
-    g = m.join(cut, ["_src", "_field"]).withColumn("shape", shape).withColumn("scale", scale)
+    g = g.join(cutoff, ["_src", "_field"]).withColumn("shape", shape).withColumn("scale", F.col("_m") * (1 - F.col("shape")))
     rate = F.lit(risk) * F.col("_n") / F.col("_peaks")
     above = F.when(F.abs(F.col("shape")) < 1e-6, -F.col("scale") * F.log(rate)).otherwise(F.col("scale") / F.col("shape") * (F.pow(rate, -F.col("shape")) - 1))
     g = g.select("_src", "_field", "scale", "shape", (F.col("threshold") + F.greatest(F.lit(0.0), above)).alias("cutoff"))
-    return model.join(cut.drop("_n"), ["_src", "_field"], "left").join(g, ["_src", "_field"], "left")
+    return model.join(cutoff.drop("_n"), ["_src", "_field"], "left").join(g, ["_src", "_field"], "left")
+
+
+def _by_source(df: DataFrame, name: str) -> DataFrame:
+    """One row per source with a map of field to the rest of its columns."""
+    rest = [c for c in df.columns if c not in ("_src", "_field")]
+    return df.groupBy("_src").agg(F.map_from_entries(F.collect_list(F.struct("_field", F.struct(*rest)))).alias(name))
 
 
 def frozen_stretches(readings: DataFrame, fields: Sequence[str], least: int = 8, block: int = 65_536) -> DataFrame:
@@ -159,31 +171,29 @@ def flag_spikes(
     other columns are ignored.
     """
     names = list(fields)
-    readings = one_reading(rows, source, sequence, row_id, names, day)
-    tails = tail_cutoffs(readings, centres(readings, fields), fields, risk)
-    season_t = F.datediff(F.to_date(F.col(day)), F.lit("2000-01-01").cast("date")).cast("double") if day else F.lit(0.0)
-    long = rows.select(
-        F.col(row_id).alias("_id"), F.col(source).alias("_src"), F.col(sequence).cast("long").alias("_seq"), F.coalesce(season_t, F.lit(0.0)).alias("_t"),
-        F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), _real(F.col(f)).alias("_v"), F.lit(float(r.low)).alias("_low"), F.lit(float(r.high)).alias("_high"), F.lit(float(r.factor)).alias("_k")) for f, r in fields.items()])),
-    ).where(F.col("_v").isNotNull())
+    readings = checkpointed(one_reading(rows, source, sequence, row_id, names, day))
+    tails = _by_source(checkpointed(tail_cutoffs(readings, centres(readings, fields), fields, risk)), "_tails")
     stuck = frozen_stretches(readings, names, stuck_least)
-    # A stretch is told to its readings by blocks of sequence numbers, an equi-join on source, field and block.
+    # A stretch is told to its readings by blocks of sequence numbers, an equi-join on source and block.
     block = 4096
     stuck = stuck.select("_src", "_field", "_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor(F.col("_to") / block))).alias("_b"))
-    stuck = stuck.groupBy("_src", "_field", "_b").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
-    x = long.withColumn("_b", F.floor(F.col("_seq") / block))
-    x = x.join(stuck, ["_src", "_field", "_b"], "left")
-    x = x.join(tails, ["_src", "_field"], "left")
-    x = settle(x, _e=F.abs(F.col("_v") - F.coalesce(predict(F.col("beta"), harmonic_features(F.col("_t"), 365.25, 1, 3652.5)), F.col("centre"))), _d=F.abs(F.col("_v") - F.col("centre")))
-    peak = (F.col("_e") > F.col("threshold")) | (F.col("_d") > F.col("threshold"))
+    stuck = checkpointed(stuck.groupBy("_src", "_b").agg(F.collect_list(F.struct("_field", "_from", "_to")).alias("_spans")))
+    t = F.datediff(F.to_date(F.col(day)), F.lit("2000-01-01").cast("date")).cast("double") if day else F.lit(0.0)
+    x = rows.select(F.col(row_id).alias("_id"), F.col(source).alias("_src"), F.col(sequence).cast("long").alias("_seq"), F.coalesce(t, F.lit(0.0)).alias("_t"), *[_real(F.col(f)).alias(f"_f{i}") for i, f in enumerate(names)])
+    x = x.withColumn("_b", F.floor(F.col("_seq") / block)).join(stuck, ["_src", "_b"], "left").join(tails, "_src", "left")
+    each = [F.struct(F.lit(f).alias("_field"), F.col(f"_f{i}").alias("_v"), F.lit(float(r.low)).alias("_low"), F.lit(float(r.high)).alias("_high"), F.lit(float(r.factor)).alias("_k"), F.try_element_at("_tails", F.lit(f)).alias("_m")) for i, (f, r) in enumerate(fields.items())]
+    x = x.select("_id", "_seq", "_t", "_spans", F.inline(F.array(*each))).where(F.col("_v").isNotNull())
+    season = harmonic_features(F.col("_t"), 365.25, 1, 3652.5)
+    x = settle(x, _e=F.abs(F.col("_v") - F.coalesce(predict(F.col("_m.beta"), season), F.col("_m.centre"))), _d=F.abs(F.col("_v") - F.col("_m.centre")))
+    peak = (F.col("_e") > F.col("_m.threshold")) | (F.col("_d") > F.col("_m.threshold"))
     x = settle(
         x,
         impossible=~F.col("_v").between(F.col("_low"), F.col("_high")),
-        frozen=F.coalesce(F.exists("_spans", lambda s: F.col("_seq").between(s["_from"], s["_to"])), F.lit(False)) & (F.col("_v") != 0),
-        stands_off=F.coalesce(peak & (F.col("_d") > F.col("_k") * F.col("yardstick")), F.lit(False)),
-        extreme=F.coalesce(F.col("_e") > F.col("cutoff"), F.lit(False)),
+        frozen=F.coalesce(F.exists("_spans", lambda s: (s["_field"] == F.col("_field")) & F.col("_seq").between(s["_from"], s["_to"])), F.lit(False)) & (F.col("_v") != 0),
+        stands_off=F.coalesce(peak & (F.col("_d") > F.col("_k") * F.col("_m.yardstick")), F.lit(False)),
+        extreme=F.coalesce(F.col("_e") > F.col("_m.cutoff"), F.lit(False)),
     )
-    return x.where(F.col("impossible") | F.col("frozen") | F.col("stands_off") | F.col("extreme")).select(F.col("_id").alias(row_id), F.col("_field").alias("field_name"), F.col("_v").alias("value"), "impossible", "frozen", "stands_off", "extreme", "cutoff")
+    return x.where(F.col("impossible") | F.col("frozen") | F.col("stands_off") | F.col("extreme")).select(F.col("_id").alias(row_id), F.col("_field").alias("field_name"), F.col("_v").alias("value"), "impossible", "frozen", "stands_off", "extreme", F.col("_m.cutoff").alias("cutoff"))
 
 
 def suspect_readings(station_observation: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ def filler_limits(rows: DataFrame, fields: Sequence[str], times: float = 20.0, s
     return rows.agg(*[(F.greatest(F.coalesce(F.percentile_approx(v(f), share, 10000), F.lit(0.0)), F.lit(1.0)) * times).alias(f"_limit_{f}") for f in fields])
 
 
-def nearest_donors(cells: DataFrame, keys: Sequence[str], target_rows: int = 20_000, most_buckets: int = 1024) -> DataFrame:
+def nearest_donors(cells: DataFrame, keys: Sequence[str], target_rows: int = 20_000, most_buckets: int = 256) -> DataFrame:
     """For each cell without a value the donor of its group with the nearest prediction.
 
     `cells`: keys, `_id`, `_pred`, `_value` (null where missing). Returns the
@@ -53,7 +53,10 @@ def nearest_donors(cells: DataFrame, keys: Sequence[str], target_rows: int = 20_
     """
     fractions = [i / most_buckets for i in range(1, most_buckets)]
     count = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.when(F.count(F.lit(1)) > target_rows, F.percentile_approx("_pred", fractions, 4 * most_buckets)).alias("_q"))
-    big = count.where(F.col("_n") > target_rows).drop("_n")
+    # A group gets as many cuts as its size asks for, so that a row is held against few.
+    want = F.least(F.lit(most_buckets), F.ceil(F.col("_n") / target_rows)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), want - 1), lambda i: F.element_at("_q", F.round(i * most_buckets / want).cast("int")))
+    big = count.where(F.col("_n") > target_rows).select(*keys, F.array_distinct(picked).alias("_q"))
     c = cells.join(big, list(keys), "left")
     # Equal predictions stay in one bucket; a bucket is the number of cuts below the prediction.
     c = c.withColumn("_bucket", F.coalesce(F.size(F.filter("_q", lambda q: q < F.col("_pred"))), F.lit(-1)).cast("int")).drop("_q")

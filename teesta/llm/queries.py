@@ -56,6 +56,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_found": """
+            WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+            w AS (SELECT doc_id, text, unnest(range(1, n - 298)) AS i FROM t),
+            h AS (SELECT DISTINCT doc_id, md5_number(substring(text, i, 300)) AS h FROM w),
+            s AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+            k AS (SELECT doc_id, h FROM h JOIN s USING (h))
+            SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
         "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 8192",
         "p9_found": r"""
             WITH w AS (

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from teesta.llm.shelf import spread
+
 _LINKS = regex.compile(r"\S*@\S+|https?://\S+|[-­¬‐]\n|\S*\p{Nd}\S*")
 _SENTENCE = regex.compile(r"(?<=[.?!।॥|])[\s”’\"')]+|[“”\"()]|\n\s*\n")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
@@ -195,7 +197,7 @@ def identify(texts: DataFrame, samples: DataFrame, key: str = "signal_id", text:
                 out.append((k, label, conf, [{"language": a, "share": s} for a, s in langs], [{"begin": s[0], "end": s[1], "language": s[2], "confidence": s[3]} for s in segs]))
             yield pd.DataFrame(out, columns=["_key", "language", "confidence", "languages", "segments"])
 
-    t = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    t = spread(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     return t.mapInPandas(run, f"_key {kind}, language string, confidence double, languages array<struct<language:string,share:double>>, segments array<struct<begin:int,end:int,language:string,confidence:double>>").withColumnRenamed("_key", key)
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from teesta.llm.shelf import spread
+
 
 class _Keep(dict):
     """Translation that keeps letters, marks and digits, makes white space blanks and drops the rest."""
@@ -91,7 +93,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, length: int = 12, key: st
         blocks[-1].append((r[0], r[1]))
         size += len(r[1])
     kinds = f"_doc {documents.schema[key].dataType.simpleString()}, _item {items.schema[item_key].dataType.simpleString()}"
-    docs = documents.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    docs = spread(documents.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull()))
     out = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(WuManber(sorted(block), length))

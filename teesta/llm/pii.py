@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from teesta.llm.boosting import BoostedTrees
+from teesta.llm.shelf import spread
 
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "PERSON")
 
@@ -193,7 +194,7 @@ def redact(texts: DataFrame, key: str = "signal_id", text: str = "evidence_text"
                 out.append((k, new, [{"kind": w, "begin": a, "end": e, "confidence": p} for a, e, w, p in spans]))
             yield pd.DataFrame(out, columns=["_key", "_new", "items"])
 
-    t = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    t = spread(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     return t.mapInPandas(run, f"_key {kind}, _new string, items array<struct<kind:string,begin:int,end:int,confidence:double>>").withColumnsRenamed({"_key": key, "_new": text})
 
 

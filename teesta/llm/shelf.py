@@ -23,3 +23,9 @@ def shelve(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/teesta-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores: Python work on few large files would leave most idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df

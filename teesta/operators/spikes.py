@@ -131,11 +131,15 @@ def frozen_stretches(readings: DataFrame, fields: Sequence[str], least: int = 8,
     before = by_block.rowsBetween(Window.unboundedPreceding, -1)
     upto = by_block.rowsBetween(Window.unboundedPreceding, 0)
     x = blocked.withColumns({f"_prev_{f}": F.last(f, ignorenulls=True).over(before) for f in fields})
-    x = x.withColumns({f"_run_{f}": F.sum(F.when(F.col(f).isNotNull() & (F.col(f"_prev_{f}").isNull() | (F.col(f) != F.col(f"_prev_{f}"))), 1).otherwise(0)).over(upto) for f in fields})
-    long = x.select("_src", "_block", "_seq", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f).alias("_v"), F.col(f"_run_{f}").alias("_run")) for f in fields]))).where(F.col("_v").isNotNull())
+    x = x.withColumns({f"_new_{f}": F.col(f).isNotNull() & (F.col(f"_prev_{f}").isNull() | (F.col(f) != F.col(f"_prev_{f}"))) for f in fields})
+    x = x.withColumns({f"_run_{f}": F.sum(F.col(f"_new_{f}").cast("int")).over(upto) for f in fields})
+    # A value that differs from both neighbours is no stretch; such rows, nearly all, go before anything is grouped. The block's first and last stretch stay.
+    x = x.withColumns({f"_next_{f}": F.lead(f"_run_{f}").over(by_block) for f in fields})
+    stays = lambda f: F.col(f).isNotNull() & ~(F.col(f"_new_{f}") & (F.col(f"_run_{f}") > 1) & F.coalesce(F.col(f"_next_{f}") > F.col(f"_run_{f}"), F.lit(False)))
+    long = x.select("_src", "_block", "_seq", F.inline(F.array_compact(F.array(*[F.when(stays(f), F.struct(F.lit(f).alias("_field"), F.col(f).alias("_v"), F.col(f"_run_{f}").alias("_run"))) for f in fields]))))
     runs = long.groupBy("_src", "_block", "_field", "_run").agg(F.count(F.lit(1)).alias("_n"), F.first("_v").alias("_v"), F.min("_seq").alias("_from"), F.max("_seq").alias("_to"))
     in_block = Window.partitionBy("_src", "_block", "_field")
-    runs = runs.withColumn("_lastrun", F.max("_run").over(in_block))
+    runs = runs.withColumn("_lastrun", F.max("_run").over(in_block))  # few runs are left here
     edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_lastrun"))
     inner = runs.where(~edge & (F.col("_n") >= least) & (F.col("_v") != 0)).select("_src", "_field", "_from", "_to")
     by_source = Window.partitionBy("_src", "_field").orderBy("_block", "_run")

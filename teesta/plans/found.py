@@ -55,6 +55,13 @@ ORACLE = {
     "p1_found": f"""WITH {_DAYS}
       SELECT 'daily_rain_mm' AS series_name, point_id, strftime(day, '%Y-%m-%d') AS period_day FROM (FROM g EXCEPT FROM u)
       UNION ALL SELECT 'fill_days', point_id, strftime(day, '%Y-%m-%d') FROM (FROM fg EXCEPT FROM fu)""",
+    "p1_grid": f"""WITH {_DAYS},
+      x AS (SELECT point_id, day, v, received_at, climate_row_id AS r FROM (SELECT point_id, first_day + unnest(range(len(daily_rain_mm)))::INT AS day, unnest(daily_rain_mm) AS v, received_at, climate_row_id FROM weekly_climate) WHERE v IS NOT NULL AND NOT isnan(v) AND NOT isinf(v) AND v >= 0),
+      y AS (SELECT 'daily_rain_mm' AS series_name, arg_max(v, (received_at, r, v)) AS v FROM x GROUP BY point_id, day
+            UNION ALL SELECT 'fill_days', arg_max(fill_days, (retrieved_at, vintage_id))::DOUBLE FROM recent_vintage WHERE fill_days >= 0 GROUP BY point_id, date_trunc('week', timezone('UTC', retrieved_at)))
+      SELECT series_name, 'observed' AS grid_state, count(*) AS periods, round(sum(v), 3) AS observed_total FROM y GROUP BY 1
+      UNION ALL SELECT 'daily_rain_mm', 'filled', count(*), NULL FROM (FROM g EXCEPT FROM u)
+      UNION ALL SELECT 'fill_days', 'filled', count(*), NULL FROM (FROM fg EXCEPT FROM fu)""",
     "p2_found": """
       WITH l AS (UNPIVOT (SELECT obs_id, station, reading_no, rainfall_mm, temperature_c, relative_humidity_pct FROM station_observation)
                  ON rainfall_mm, temperature_c, relative_humidity_pct INTO NAME f VALUE v),

@@ -79,6 +79,17 @@ def test_scans(spark):
     assert got["null"]["evidence_text"] is None and got["e"]["noise"] == [] and got["t"]["noise"] == [] and got["3"]["noise"] == []
 
 
+def test_very_long_texts(spark):
+    r = random.Random(12)
+    long = "\n".join(" ".join(r.choice(["fever", "homes", "week", "the", "sample", "in"]) + str(r.randrange(50)) for _ in range(9)) for _ in range(3000))
+    reader = scans.Reader({"fever": 50}, {}, set())
+    noise, text = scans.read(long, reader)
+    assert len(text) > 100_000 and noise == sorted(noise)
+    trees, cutoff = pii.model()
+    assert pii.find(long + " Write to a.b@labha.invalid for the list.", trees, cutoff)[-1][2] == "EMAIL"
+    assert langid.infer((EN + ". ") * 2000, langid.NgramModels([("en", EN), ("hi", HI)]))[0][0][0] == "en"
+
+
 def test_packing(spark):
     r = random.Random(2)
     texts = ["x" * r.randrange(0, 300) for _ in range(500)] + ["é" * 1200, "", None]

@@ -248,3 +248,37 @@ def read_pages(pages: DataFrame, key: str, body: str) -> DataFrame:
 def link_score(label: Column, url: Column, weights: Mapping[str, int]) -> Column:
     """Added weights of the patterns that label or address hold."""
     return sum((F.when(F.concat_ws(" ", label, url).rlike(f"(?i){p}"), w).otherwise(0) for p, w in weights.items()), F.lit(0))
+
+
+# Code points of the two scripts that mean the same letter lie 0x200 apart; dandas are shared.
+_PAIRED = [i for i in range(0x01, 0x70) if i not in (0x64, 0x65)]
+
+
+def transliterated(c: Column, to: str = "hi") -> Column:
+    """Odia letters as Devanagari ('hi') or the other way ('or'), by place in the code chart."""
+    odia, deva = "".join(chr(0x0B00 + i) for i in _PAIRED), "".join(chr(0x0900 + i) for i in _PAIRED)
+    return F.translate(c, odia, deva) if to == "hi" else F.translate(c, deva, odia)
+
+
+def collapsed_runs(c: Column, least: int = 3) -> Column:
+    """A word said `least` times or more in a row, said once."""
+    return F.regexp_replace(c, rf"(?<!\S)(\S+)(?:\s+\1){{{least - 1},}}(?!\S)", "$1")
+
+
+def capped_sentences(c: Column, most: int = 400) -> Column:
+    """Sentences, those above `most` signs cut at the last blank before it."""
+    wrapped = F.transform(sentences(c), lambda s: F.regexp_extract_all(s, F.lit(rf"(\S.{{0,{most - 1}}})(?:\s|$)|(\S.{{0,{most - 1}}})"), 0))
+    return F.filter(F.transform(F.flatten(wrapped), F.trim), lambda x: x != "")
+
+
+def protected(c: Column, terms: Sequence[str]) -> Column:
+    """Terms as marks U+E000 and on, the longest first, so that no later step changes them."""
+    for i, t in sorted(enumerate(terms), key=lambda x: -len(x[1])):
+        c = F.replace(c, F.lit(t), F.lit(chr(0xE000 + i)))
+    return c
+
+
+def restored(c: Column, terms: Sequence[str]) -> Column:
+    for i, t in enumerate(terms):
+        c = F.replace(c, F.lit(chr(0xE000 + i)), F.lit(t))
+    return c

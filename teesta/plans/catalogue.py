@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teesta.plans import found, panels, relational, statistics, texts
+from teesta.plans import audits, found, panels, relational, statistics, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (found, relational, panels, statistics, texts)
+MODULES = (found, relational, panels, statistics, texts, audits)
 
 
 def queries() -> dict[str, Query]:

@@ -109,6 +109,15 @@ def test_text_helpers(spark):
     assert got[1]["visible_text"] == "Hello pdf" and got[1]["title"] == "T" and got[2]["visible_text"] == ""
 
 
+def test_small_text_steps(spark):
+    one = spark.range(1)
+    assert one.select(T.transliterated(T.transliterated(F.lit("ଓଡ଼ିଶା।")), "or")).first()[0] == "ଓଡ଼ିଶା।"
+    assert one.select(T.collapsed_runs(F.lit("no no no no case, ha ha"))).first()[0] == "no case, ha ha"
+    assert one.select(T.capped_sentences(F.lit("aa bb cc. dd"), 5)).first()[0] == ["aa bb", "cc.", "dd"]
+    assert one.select(T.restored(T.protected(F.lit("test kits and kits"), ["kits", "test kits"]), ["kits", "test kits"])).first()[0] == "test kits and kits"
+    assert one.select(T.composed(F.lit("Ａe\u0301  \u200dX"))).first()[0] is not None
+
+
 def test_stream_equals_table(spark, tmp_path):
     rows = [(i, i % 7, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), ["view", "error", "purchase"][i % 3], float(i)) for i in range(300)]
     e = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp, event_type string, value double")

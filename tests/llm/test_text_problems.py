@@ -90,6 +90,11 @@ def test_very_long_texts(spark):
     assert langid.infer((EN + ". ") * 2000, langid.NgramModels([("en", EN), ("hi", HI)]))[0][0][0] == "en"
 
 
+def test_scans_with_empty_partitions(spark):
+    df = spark.createDataFrame([("a", "one line"), ("b", "two\nlines\nhere"), ("c", None)], "signal_id string, evidence_text string").repartition(40)
+    assert scans.scanning_traces(df).count() == 0 and scans.scanning_traces(df.limit(0)).count() == 0
+
+
 def test_packing(spark):
     r = random.Random(2)
     texts = ["x" * r.randrange(0, 300) for _ in range(500)] + ["é" * 1200, "", None]

@@ -267,7 +267,7 @@ def collapsed_runs(c: Column, least: int = 3) -> Column:
 
 def capped_sentences(c: Column, most: int = 400) -> Column:
     """Sentences, those above `most` signs cut at the last blank before it."""
-    wrapped = F.transform(sentences(c), lambda s: F.regexp_extract_all(s, F.lit(rf"(\S.{{0,{most - 1}}})(?:\s|$)|(\S.{{0,{most - 1}}})"), 0))
+    wrapped = F.transform(sentences(c), lambda s: F.regexp_extract_all(s, F.lit(rf"(?:\S.{{0,{most - 1}}})(?=\s|$)|(?:\S.{{0,{most - 1}}})"), 0))
     return F.filter(F.transform(F.flatten(wrapped), F.trim), lambda x: x != "")
 
 

@@ -98,6 +98,8 @@ def order_posteriors(cases: DataFrame, keys: list[str], iterations: int = 25, pr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = np.array([1e-12, 1.0, 20.0])
         for b in batches:
+            if not len(b):
+                continue
             out = []
             for declared, seen in zip(b["declared"], b["seen"], strict=True):
                 sig = [r["signature"] for r in seen]

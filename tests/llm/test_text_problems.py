@@ -160,3 +160,31 @@ def test_shared_amounts(spark):
     df = spark.createDataFrame([(1, "x" * 50 + p), (2, p + "y" * 30), (3, "q" * 500), (4, None)], "doc_id bigint, text string")
     got = {x["doc_id"]: (x["shared_chars"], x["partners"]) for x in spans.shared_amounts(df).collect()}
     assert got == {1: (400, 1), 2: (400, 1)}
+
+
+@pytest.mark.parametrize("crowd", [64, 1])
+def test_shared_amounts_equal_brute_force(spark, crowd):
+    r = random.Random(12)
+    rand = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    passages = [rand(n) for n in (30, 31, 120, 200)]
+    docs = {i: rand(r.randrange(1, 60)) + r.choice([*passages, ""]) + rand(r.randrange(0, 40)) + r.choice([*passages, ""]) for i in range(50)}
+    docs = {i: t for i, t in docs.items() if len(t) >= 30}
+    windows = {i: {t[p : p + 30] for p in range(len(t) - 29)} for i, t in docs.items()}
+    want = {}
+    for i, t in docs.items():
+        others = {j for j in docs if j != i and windows[i] & windows[j]}
+        held = {p + o for p in range(len(t) - 29) for o in range(30) if any(t[p : p + 30] in windows[j] for j in others)}
+        if others:
+            want[i] = (len(held), len(others))
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {x["doc_id"]: (x["shared_chars"], x["partners"]) for x in spans.shared_amounts(df, 30, 20, crowd).collect()}
+    assert got == want
+
+
+def test_shared_amounts_of_a_standing_passage(spark):
+    r = random.Random(13)
+    rand = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    p = "A" + rand(498) + "Z"
+    df = spark.createDataFrame([(i, rand(i + 1) + str(i) + p + str(i) + rand(20)) for i in range(70)], "doc_id bigint, text string")
+    got = {(x["shared_chars"], x["partners"]) for x in spans.shared_amounts(df).collect()}
+    assert len(got) < 20 and min(got)[0] >= 500 and max(got)[0] < 510 and {n for _, n in got} == {69}

@@ -79,6 +79,16 @@ def test_scans(spark):
     assert got["null"]["evidence_text"] is None and got["e"]["noise"] == [] and got["t"]["noise"] == [] and got["3"]["noise"] == []
 
 
+def test_misreadings_that_no_confusion_lists():
+    words = {"ସୂଚନା": 500, "लोगों": 500, "hospital": 500, "gabhasahi": 500}
+    triples = {x[i : i + 3]: 9000 if "ga" in x else 40 for x in (" gabhasahi ", " mabhasahi ", " hospital ") for i in range(len(x) - 2)}
+    reader = scans.Reader(words, triples, set())
+    assert scans.misread_steps("लोगों", "लोगो") == 1 and scans.misread_steps("ସୂଚନା", "ସୂଚନ୍ା") == 1
+    assert [reader.corrected(w) for w in ("ସୂଚନ୍ା", "लोगो", "Hosqital", "hospitl", "mabhasahi")] == ["ସୂଚନା", "लोगों", "Hospital", "hospital", None]
+    assert reader.corrected("hosqital", 20) is None
+    assert scans.read("the hosq-\nital and", reader) == ([(1, "broken_word"), (1, "misread")], "the hospital and")
+
+
 def test_very_long_texts(spark):
     r = random.Random(12)
     long = "\n".join(" ".join(r.choice(["fever", "homes", "week", "the", "sample", "in"]) + str(r.randrange(50)) for _ in range(9)) for _ in range(3000))

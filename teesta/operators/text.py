@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.parser
+import re
 import unicodedata
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -186,49 +187,103 @@ def text_quality(c: Column) -> Column:
 
 
 class _Visible(html.parser.HTMLParser):
-    """Visible text and links of a page; navigation, scripts and the like aside."""
+    """Visible text and links of a page, each piece with the innermost chrome element around it; scripts and the like aside."""
 
-    ASIDE = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form"}
-    BLOCK = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "section", "article", "td"}
-    VOID = {"br", "img", "meta", "link", "input", "hr"}
+    HIDDEN = {"script", "style", "noscript", "svg", "template"}
+    CHROME = {"nav", "header", "footer", "aside"}
+    NAMED = CHROME | {"div", "ul", "ol", "section", "form", "table"}
+    ROLES = {"navigation", "banner", "contentinfo", "search", "menu", "menubar", "complementary"}
+    TOKEN = re.compile(r"(?:^|[-_ ])(?:nav|navbar|navigation|menu|megamenu|breadcrumbs?|sidebar|footer|header|masthead|topbar|skip|skiplink|social|share|cookie|banner|language-switcher|langswitch|accessibility)(?:$|[-_ ])")
+    BLOCK = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "section", "article", "td"} | CHROME
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.aside, self.text, self.links, self.title, self.stack = 0, [], [], "", []
-        self.chrome = 0
+        self.text: list[tuple[str, int]] = []  # piece, chrome element or -1
+        self.links: list[tuple[str, list[int]]] = []  # address, pieces of its label
+        self.title, self.stack, self.hidden = "", [], 0
+        self.parent: list[int] = []
+        self.open: list[int] = []
+
+    def _chrome(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in self.CHROME:
+            return True
+        if tag not in self.NAMED:
+            return False
+        given = {k: v or "" for k, v in attrs}
+        return given.get("role", "").casefold() in self.ROLES or bool(self.TOKEN.search(f" {given.get('class', '')} {given.get('id', '')} ".casefold()))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in self.BLOCK:
+            self.text.append(("\n", -1))
         if tag in self.VOID:
-            self.text.append(" ")
+            self.text.append((" ", -1))
             return
-        off = tag in self.ASIDE or dict(attrs).get("role") in ("navigation", "banner", "contentinfo")
-        self.stack.append((tag, off))
-        self.aside += off
-        if tag in self.BLOCK:
-            self.text.append("\n")
+        mark = -1
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif self._chrome(tag, attrs):
+            mark = len(self.parent)
+            self.parent.append(self.open[-1] if self.open else -1)
+            self.open.append(mark)
+        self.stack.append((tag, mark))
         if tag == "a" and dict(attrs).get("href"):
-            self.links.append([dict(attrs)["href"], ""])
+            self.links.append((dict(attrs)["href"], []))
+
+    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in self.BLOCK | self.VOID:
+            self.text.append(("\n" if tag in self.BLOCK else " ", -1))
 
     def handle_endtag(self, tag: str) -> None:
-        while self.stack:
-            t, off = self.stack.pop()
-            self.aside -= off
+        # A stray end tag closes nothing; a matched one also what was left open within it.
+        if not any(t == tag for t, _ in self.stack):
+            return
+        while True:
+            t, mark = self.stack.pop()
+            self.hidden -= t in self.HIDDEN
+            if mark >= 0:
+                self.open.pop()
             if t == tag:
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.hidden:
+            return
         if self.stack and self.stack[-1][0] == "title":
             self.title += data
-        elif self.aside:
-            self.chrome += sum(c.isalpha() for c in data)
-        else:
-            self.text.append(data)
-            if self.links and any(t == "a" for t, _ in self.stack):
-                self.links[-1][1] += data
+            return
+        if self.links and any(t == "a" for t, _ in self.stack):
+            self.links[-1][1].append(len(self.text))
+        self.text.append((data, self.open[-1] if self.open else -1))
+
+    def furniture(self, most: float) -> list[bool]:
+        """Of each piece, whether it stands in chrome; an element with more than `most` of the page's letters is none."""
+        weight, total = [0] * len(self.parent), _letters(self.title)
+        for piece, at in self.text:
+            n = _letters(piece)
+            total += n
+            while at >= 0:
+                weight[at] += n
+                at = self.parent[at]
+        return [at >= 0 and weight[at] <= most * total for _, at in self.text]
 
 
-def read_pages(pages: DataFrame, key: str, body: str) -> DataFrame:
-    """key, title, visible_text, chrome_share, links array<struct<href,label>>. Broken pages give what could be read."""
+def _letters(text: str) -> int:
+    return sum(c.isalpha() for c in text)
+
+
+def _lines(text: str) -> str:
+    return "\n".join(x for x in (" ".join(line.split()) for line in text.split("\n")) if x)
+
+
+def read_pages(pages: DataFrame, key: str, body: str, most: float = 0.5, least_letters: int = 120, least_share: float = 0.15) -> DataFrame:
+    """key, title, visible_text, page_text, chrome_share, links array<struct<href,label>>. Broken pages give what could be read.
+
+    visible_text is the page without its chrome, of which an element with more
+    than `most` of the letters is none. page_text is the same, but the whole page
+    where fewer than `least_letters` letters (the title's too) or `least_share`
+    of them would be left.
+    """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,12 +292,15 @@ def read_pages(pages: DataFrame, key: str, body: str) -> DataFrame:
             for k, t in zip(b["_k"], b["_b"], strict=True):
                 p = _Visible()
                 p.feed(t or "")
-                text = "\n".join(x for x in (" ".join(line.split()) for line in "".join(p.text).split("\n")) if x)
-                kept = sum(c.isalpha() for c in text)
-                out.append((k, p.title.strip(), text, p.chrome / (p.chrome + kept) if p.chrome + kept else 0.0, [{"href": h, "label": " ".join(x.split())} for h, x in p.links]))
-            yield pd.DataFrame(out, columns=["_k", "title", "visible_text", "chrome_share", "links"])
-
-    return pages.select(F.col(key).alias("_k"), F.col(body).alias("_b")).mapInPandas(run, f"_k {kind}, title string, visible_text string, chrome_share double, links array<struct<href:string,label:string>>").withColumnRenamed("_k", key)
+                off = p.furniture(most)
+                text, whole = _lines("".join(x for (x, _), o in zip(p.text, off, strict=True) if not o)), _lines("".join(x for x, _ in p.text))
+                kept, every, title = _letters(text), _letters(whole), _letters(p.title)
+                enough = kept + title >= least_letters and kept + title >= least_share * (every + title)
+                links = [{"href": h, "label": " ".join("".join(p.text[i][0] for i in at if not off[i]).split())} for h, at in p.links]
+                out.append((k, p.title.strip(), text, text if enough else whole, (every - kept) / every if every else 0.0, links))
+            yield pd.DataFrame(out, columns=["_k", "title", "visible_text", "page_text", "chrome_share", "links"])
+
+    return pages.select(F.col(key).alias("_k"), F.col(body).alias("_b")).mapInPandas(run, f"_k {kind}, title string, visible_text string, page_text string, chrome_share double, links array<struct<href:string,label:string>>").withColumnRenamed("_k", key)
 
 
 def link_score(label: Column, url: Column, weights: Mapping[str, int]) -> Column:

@@ -104,6 +104,13 @@ def html_visible_text(s: SparkSession, d: str) -> DataFrame:
     return T.read_pages(page, "doc_id", "page").select("doc_id", "visible_text")
 
 
+def html_page_text(s: SparkSession, d: str) -> DataFrame:
+    """SRC-13, TXT-7: pages are written around the documents' whole texts, a block a line, and read again."""
+    lines = F.replace(F.regexp_replace("text", "[<>&]", " "), F.lit("\n"), F.lit("</p><p>"))
+    page = table(s, d, "documents").select("doc_id", F.concat(F.lit("<html><head><title>t</title></head><body><nav><a href='/home'>home</a></nav><p>"), lines, F.lit("</p><footer>foot</footer></body></html>")).alias("page"))
+    return T.read_pages(page, "doc_id", "page").select("doc_id", "visible_text", "page_text", F.round("chrome_share", 6).alias("chrome_share"))
+
+
 def evidence_spans(s: SparkSession, d: str) -> DataFrame:
     """STR-24, STR-23."""
     return table(s, d, "documents").select("doc_id", F.length(T.evidence_span(T.sanitised(F.col("text"), 100_000), ["malaria", "dengue"])).alias("span_length"))
@@ -182,7 +189,7 @@ def scope_inheritance(s: SparkSession, d: str) -> DataFrame:
     return Q.scope(g, "source_id", "turn", "m").select("signal_id", "resolved", "scope_state")
 
 
-QUERIES = {f.__name__: f for f in (script_profile, language_route, assertion_class, dictionary_match, sentence_links, fingerprint_dups, dedup_candidates, dedup_classes, lexical_rank, vector_topk, url_canonical, numeric_grounding, html_visible_text, evidence_spans, point_in_polygon, grid_cell_shared, ridge_irls, boosted_trees, rolling_origin_gate, month_windows, attempt_fold, ext_sessions, intent_route, scope_inheritance)}
+QUERIES = {f.__name__: f for f in (script_profile, language_route, assertion_class, dictionary_match, sentence_links, fingerprint_dups, dedup_candidates, dedup_classes, lexical_rank, vector_topk, url_canonical, numeric_grounding, html_visible_text, html_page_text, evidence_spans, point_in_polygon, grid_cell_shared, ridge_irls, boosted_trees, rolling_origin_gate, month_windows, attempt_fold, ext_sessions, intent_route, scope_inheritance)}
 
 _RING = "r AS (SELECT district_id, i, longitude + 0.7 * CASE WHEN i % 2 = 0 THEN 1.0 ELSE 0.45 END * cos(i * 2 * pi() / 10) AS x, latitude + 0.7 * CASE WHEN i % 2 = 0 THEN 1.0 ELSE 0.45 END * sin(i * 2 * pi() / 10) AS y FROM district_gazetteer, range(10) t(i)), e AS (SELECT a.district_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM r a JOIN r b ON a.district_id = b.district_id AND b.i = (a.i + 1) % 10)"
 _HAS = lambda cues, c="t": " OR ".join(f"contains({c}, '{x}')" for x in cues)

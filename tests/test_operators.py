@@ -10,6 +10,7 @@ from teesta.operators import relational as R
 from teesta.operators import spatial as G
 from teesta.operators import stats as S
 from teesta.operators import text as T
+from teesta.plans import texts as X
 from teesta.streaming import flows as W
 
 
@@ -109,6 +110,27 @@ def test_text_helpers(spark):
     assert got[1]["visible_text"] == "Hello pdf" and got[1]["title"] == "T" and got[2]["visible_text"] == ""
 
 
+def test_pages_whose_body_stands_in_chrome(spark):
+    body = "Fever cases were found in the village and samples sent. " * 5
+    pages = [
+        (1, f"<nav>menu</nav><header><p>{body}</p></header>"),
+        (2, f"<form><p>{body}</p></form><nav>menu</nav>"),
+        (3, f"<div class='megamenu-nav'>{body}<header>chief</header>"),
+        (4, f"</b><div id='top' class='x-sidebar'>side</div><p>{body}</p>"),
+        (5, "<p>short</p><footer>foot</footer><nav>menu and more</nav>"),
+    ]
+    got = {r["id"]: r for r in T.read_pages(spark.createDataFrame(pages, "id int, b string"), "id", "b").collect()}
+    assert [got[i]["visible_text"] for i in (1, 2, 3, 4)] == [body.strip()] * 4 == [got[i]["page_text"] for i in (1, 2, 3, 4)]
+    assert got[5]["page_text"] == "short\nfoot\nmenu and more"
+
+
+def test_page_text_reads_every_line(spark, tmp_path):
+    line = "Fever cases were found in the village and samples were sent to the laboratory of the district"
+    spark.createDataFrame([(1, f"{line}\n\n a  <b> \n{line}"), (2, "few\nwords")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["visible_text"], r["page_text"]) for r in X.html_page_text(spark, str(tmp_path)).collect()}
+    assert got == {1: (f"{line}\na b\n{line}",) * 2, 2: ("few\nwords", "home\nfew\nwords\nfoot")}
+
+
 def test_small_text_steps(spark):
     one = spark.range(1)
     assert one.select(T.transliterated(T.transliterated(F.lit("ଓଡ଼ିଶା।")), "or")).first()[0] == "ଓଡ଼ିଶା।"

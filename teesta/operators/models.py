@@ -69,11 +69,13 @@ class Boosted:
         return 1 / (1 + F.exp(-F.least(F.lit(60.0), F.greatest(F.lit(-60.0), z))))
 
 
-def fit_boosted_trees(df: DataFrame, columns: Sequence[str], target: str, rounds: int = 10, rate: float = 0.1, depth: int = 2, bins: int = 12, least: int = 80, ridge: float = 5.0) -> Boosted:
+def fit_boosted_trees(df: DataFrame, columns: Sequence[str], target: str, rounds: int = 60, rate: float = 0.1, depth: int = 2, bins: int = 12, least: int = 80, ridge: float = 5.0) -> Boosted:
     """Trees grown level by level from histograms of gradients: one aggregate by (node, bin) for all columns a level.
 
-    Only the histograms, columns x bins x nodes, come to the driver. Bin edges
-    are quantiles with doubles removed; a value on an edge goes right.
+    Rows of the same bins have the same score in every round, so the rounds run
+    over such cells with their counts. Only the histograms, columns x bins x
+    nodes, come to the driver; leaves take their sums from the split above. Bin
+    edges are quantiles with doubles removed; a value on an edge goes right.
     """
     from teesta.session import cut
 
@@ -82,34 +84,37 @@ def fit_boosted_trees(df: DataFrame, columns: Sequence[str], target: str, rounds
     edges = {c: sorted(set(q or [])) for c, q in zip(columns, quantiles[: len(columns)], strict=True)}
     rate0 = min(max(quantiles[len(columns)] or 0.5, 1e-6), 1 - 1e-6)
     base = float(np.log(rate0 / (1 - rate0)))
-    x = x.withColumn("_z", F.lit(base)).withColumns({f"_b{i}": sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[c]), F.lit(0)) for i, c in enumerate(columns)})
+    x = x.withColumns({f"_b{i}": sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[c]), F.lit(0)) for i, c in enumerate(columns)})
+    cells = [f"_b{i}" for i in range(len(columns))]
+    x = cut(x.groupBy(*cells).agg(F.sum("_y").alias("_y"), F.count(F.lit(1)).alias("_n")).withColumn("_z", F.lit(base)))
     trees: list[dict] = []
     for round_no in range(rounds):
         prob = 1 / (1 + F.exp(-F.col("_z")))
-        level = x.select("*", (prob - F.col("_y")).alias("_g"), F.greatest(F.lit(1e-9), prob * (1 - prob)).alias("_h"), F.lit(1).alias("_node"))
+        level = x.select("*", (prob * F.col("_n") - F.col("_y")).alias("_g"), (F.greatest(F.lit(1e-9), prob * (1 - prob)) * F.col("_n")).alias("_h"), F.lit(1).alias("_node"))
         tree: dict[int, dict] = {}
         frontier = [1]
-        for d in range(depth + 1):
-            long = level.where(F.col("_node").isin(frontier)).select("_node", "_g", "_h", F.posexplode(F.array(*[F.col(f"_b{i}") for i in range(len(columns))])).alias("_f", "_b"))
-            hist = long.groupBy("_node", "_f", "_b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count(F.lit(1)).alias("n")).collect()
+        for d in range(max(1, depth)):
+            long = level.where(F.col("_node").isin(frontier)).select("_node", "_g", "_h", "_n", F.posexplode(F.array(*cells)).alias("_f", "_b"))
+            hist = long.groupBy("_node", "_f", "_b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.sum("_n").alias("n")).collect()
             nxt = []
             for node in frontier:
                 rows = [r for r in hist if r["_node"] == node]
                 g, h, n = (sum(r[k] for r in rows if r["_f"] == 0) for k in "ghn")
                 tree[node] = {"v": -g / (h + ridge) if rows else 0.0}
-                best = (1e-9, -1, -1)
+                best = (1e-9, -1, -1, 0.0, 0.0)
                 if d < depth:
                     for f in range(len(columns)):
                         gl = hl = nl = 0.0
                         for r in sorted((r for r in rows if r["_f"] == f), key=lambda r: r["_b"]):
                             if nl >= least and n - nl >= least:
                                 gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
-                                best = max(best, (gain, f, r["_b"]))
+                                best = max(best, (gain, f, r["_b"], gl, hl))
                             gl, hl, nl = gl + r["g"], hl + r["h"], nl + r["n"]
                 if best[1] >= 0:
                     tree[node] = {"f": best[1], "b": best[2]}
+                    tree[2 * node], tree[2 * node + 1] = {"v": -best[3] / (best[4] + ridge)}, {"v": -(g - best[3]) / (h - best[4] + ridge)}
                     nxt += [2 * node, 2 * node + 1]
-            if not nxt:
+            if not nxt or d == depth - 1:
                 break
             step = F.col("_node")
             for node in frontier:
@@ -124,12 +129,12 @@ def fit_boosted_trees(df: DataFrame, columns: Sequence[str], target: str, rounds
             return {"v": float(t["v"])} if "v" in t else {"c": columns[t["f"]], "t": float(edges[columns[t["f"]]][t["b"] - 1]), "l": nested(2 * node), "r": nested(2 * node + 1)}
 
         trees.append(nested(1))
-        one = Boosted(0.0, (trees[-1],), rate)
 
-        def score(t: dict) -> Column:
-            return F.lit(t["v"]) if "v" in t else F.when(F.col(t["c"]) < t["t"], score(t["l"])).otherwise(score(t["r"]))
+        def score(node: int, tree: dict[int, dict] = tree) -> Column:
+            t = tree[node]
+            return F.lit(float(t["v"])) if "v" in t else F.when(F.col(f"_b{t['f']}") < t["b"], score(2 * node)).otherwise(score(2 * node + 1))
 
-        x = x.withColumn("_z", F.col("_z") + score(one.trees[0]) * rate)
+        x = x.withColumn("_z", F.col("_z") + score(1) * rate)
         if round_no % 5 == 4:
             x = cut(x)
     return Boosted(base, tuple(trees), rate)

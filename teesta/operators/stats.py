@@ -135,7 +135,7 @@ def pit_histogram(df: DataFrame, key: str, p: str, y: str, bins: int = 10, seed:
     return df.groupBy(F.least(F.lit(bins - 1), F.floor(pit * bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def block_bootstrap(df: DataFrame, block: str, p: str, y: str, replicates: int = 200, seed: int = 7) -> DataFrame:
+def block_bootstrap(df: DataFrame, block: str, p: str, y: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
     """brier, low, high: 95 % interval of the Brier score with whole blocks drawn again. Rows are reduced to two sums a block first."""
     b = df.groupBy(block).agg(F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_s"), F.count(F.lit(1)).alias("_n"))
     b = b.withColumn("_i", F.row_number().over(Window.orderBy(block)) - 1)  # one row a block

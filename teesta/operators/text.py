@@ -170,11 +170,13 @@ def citations(answer: Column, most: Column) -> Column:
     return F.array_distinct(F.filter(n, lambda x: (x >= 1) & (x <= most)))
 
 
-def sanitised(c: Column, most: int = 2000) -> Column:
-    return F.substring(F.translate(F.regexp_replace(c, r"\p{Cc}", " "), "<>", "‹›"), 1, most)
+def sanitised(c: Column, most: int | None = 2000) -> Column:
+    """Control signs as blanks, no angle brackets; the first `most` signs, or all."""
+    x = F.translate(F.regexp_replace(c, r"\p{Cc}", " "), "<>", "‹›")
+    return x if most is None else F.substring(x, 1, most)
 
 
-def evidence_span(c: Column, anchors: Sequence[str], most: int = 240) -> Column:
+def evidence_span(c: Column, anchors: Sequence[str], most: int = 2400) -> Column:
     """At most `most` code points around the earliest anchor, whole texts if shorter."""
     at = F.least(*[F.nullif(F.instr(F.lower(c), a), F.lit(0)) for a in anchors], F.lit(None).cast("int"))
     begin = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - most // 2)

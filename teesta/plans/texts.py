@@ -113,7 +113,7 @@ def html_page_text(s: SparkSession, d: str) -> DataFrame:
 
 def evidence_spans(s: SparkSession, d: str) -> DataFrame:
     """STR-24, STR-23."""
-    return table(s, d, "documents").select("doc_id", F.length(T.evidence_span(T.sanitised(F.col("text"), 100_000), ["malaria", "dengue"])).alias("span_length"))
+    return table(s, d, "documents").select("doc_id", F.length(T.evidence_span(T.sanitised(F.col("text"), None), ["malaria", "dengue"])).alias("span_length"))
 
 
 def point_in_polygon(s: SparkSession, d: str) -> DataFrame:
@@ -148,7 +148,7 @@ def ridge_irls(s: SparkSession, d: str) -> DataFrame:
 def boosted_trees(s: SparkSession, d: str) -> DataFrame:
     """ML-3, ML-20, AGG-38."""
     x = _examples(s, d)
-    m = M.fit_boosted_trees(x, COLUMNS, "target", rounds=5)
+    m = M.fit_boosted_trees(x, COLUMNS, "target")
     return x.select("nation", "week", "target", F.round(m.probability(), 6).alias("probability"))
 
 

@@ -110,6 +110,43 @@ def test_text_helpers(spark):
     assert got[1]["visible_text"] == "Hello pdf" and got[1]["title"] == "T" and got[2]["visible_text"] == ""
 
 
+def test_reference_sizes(spark, tmp_path):
+    rows = [(i % 17 / 17.0, i % 5 / 5.0, int(i * 7 % 17 > 8)) for i in range(600)]
+    x = spark.createDataFrame(rows, "a double, b double, y int")
+    assert len(M.fit_boosted_trees(x, ["a", "b"], "y").trees) == 60
+    text = "x" * 120_000 + " malaria " + "y" * 30_000
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert X.evidence_spans(spark, str(tmp_path)).first()["span_length"] == 2400
+    assert "malaria" in spark.range(1).select(T.evidence_span(T.sanitised(F.lit(text), None), ["malaria"])).first()[0]
+    import inspect
+
+    assert inspect.signature(S.block_bootstrap).parameters["replicates"].default == 2000
+
+
+def test_boosted_cells_equal_boosted_rows(spark):
+    rows = [(i % 17 / 17.0, i % 5 / 5.0, int(i * 7 % 17 > 8 or i % 5 == 1)) for i in range(600)]
+    import numpy as np
+
+    a, y = np.array([r[:2] for r in rows]), np.array([r[2] for r in rows], float)
+    m = M.fit_boosted_trees(spark.createDataFrame(rows, "a double, b double, y int"), ["a", "b"], "y", rounds=6)
+    z = np.full(600, m.base)
+
+    def leaves(t, at):
+        if "v" in t:
+            yield at, t["v"]
+        else:
+            left = a[:, "ab".index(t["c"])] < t["t"]
+            yield from leaves(t["l"], at & left)
+            yield from leaves(t["r"], at & ~left)
+
+    for t in m.trees:
+        p, step = 1 / (1 + np.exp(-z)), np.zeros(600)
+        for at, v in leaves(t, np.ones(600, bool)):
+            assert abs(v + (p - y)[at].sum() / ((p * (1 - p))[at].sum() + 5.0)) < 1e-9
+            step[at] = v
+        z = z + step * m.rate
+
+
 def test_pages_whose_body_stands_in_chrome(spark):
     body = "Fever cases were found in the village and samples sent. " * 5
     pages = [

@@ -109,29 +109,30 @@ def jaccard(a: Column, b: Column) -> Column:
 def duplicate_candidates(signals: DataFrame, key: str, text: str, disease: str, district: str, at: str, language: str, width: int = 5, same: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, candidates): key with its class of equal text, and pairs of classes for review; nothing is merged.
 
-    Equal texts (letter case and spaces aside) of one disease, district and
-    language are one class. Classes of a disease, district and language are
+    Equal texts (letter case and spaces aside) of one disease and district are
+    one class, whatever their `language` says: labels are missing or wrong, so
+    they only stand beside the members. Classes of a disease and district are
     candidates if the sets of their runs of `width` words are alike by `same` or
     more and the signals lie within 72 hours. Pairs come from shared rare runs:
     of a set of n runs the first n - ceil(same n) + 1 in an order by rarity must
     hold one that the other set's such prefix holds too, so no alike pair is lost
     and common runs join nothing.
     """
-    x = signals.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), fingerprint(F.col(text)).alias("_f"), F.lower(collapsed(F.col(text))).alias("_t"), F.coalesce(disease, F.lit("")).alias("_a"), F.coalesce(district, F.lit("")).alias("_b"), F.coalesce(language, F.lit("")).alias("_l"), F.col(at).alias("_at"))
-    x = x.withColumn("class_id", F.xxhash64("_f", "_a", "_b", "_l"))
-    members = x.select(F.col("_k").alias(key), "class_id")
-    c = x.groupBy("class_id", "_a", "_b", "_l").agg(F.min("_t").alias("_t"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    x = signals.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), fingerprint(F.col(text)).alias("_f"), F.lower(collapsed(F.col(text))).alias("_t"), F.coalesce(disease, F.lit("")).alias("_a"), F.coalesce(district, F.lit("")).alias("_b"), F.col(language).alias("_l"), F.col(at).alias("_at"))
+    x = x.withColumn("class_id", F.xxhash64("_f", "_a", "_b"))
+    members = x.select(F.col("_k").alias(key), "class_id", F.col("_l").alias("language"))
+    c = x.groupBy("class_id", "_a", "_b").agg(F.min("_t").alias("_t"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     w = F.split("_t", " ")
     runs = F.when(F.size(w) < width, F.array(F.xxhash64("_t"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " ")))))
-    c = c.select("class_id", "_a", "_b", "_l", "_first", "_last", runs.alias("_r"))
+    c = c.select("class_id", "_a", "_b", "_first", "_last", runs.alias("_r"))
     long = c.select("class_id", F.explode("_r").alias("_h"))
     seen = long.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"))
     ordered = long.join(seen, "_h").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("_df", "_h"))).alias("_o"))
     n = F.size("_o")
     ahead = ordered.select("class_id", F.explode(F.slice("_o", 1, (n - F.ceil(n * same - 1e-9) + 1).cast("int"))).alias("_p")).where(F.col("_p._df") > 1).select("class_id", F.col("_p._h").alias("_h"))
-    keyed = ahead.join(c.select("class_id", "_a", "_b", "_l"), "class_id")
+    keyed = ahead.join(c.select("class_id", "_a", "_b"), "class_id")
     one, two = keyed.withColumnRenamed("class_id", "class_a"), keyed.withColumnRenamed("class_id", "class_b")
-    pairs = one.join(two, ["_h", "_a", "_b", "_l"]).where(F.col("class_a") < F.col("class_b")).select("class_a", "class_b").distinct()
+    pairs = one.join(two, ["_h", "_a", "_b"]).where(F.col("class_a") < F.col("class_b")).select("class_a", "class_b").distinct()
     side = lambda s: c.select(F.col("class_id").alias(f"class_{s}"), F.col("_r").alias(f"_r{s}"), F.col("_first").alias(f"_f{s}"), F.col("_last").alias(f"_g{s}"))
     p = pairs.join(side("a"), "class_a").join(side("b"), "class_b")
     gap = F.greatest(F.lit(0), F.unix_seconds("_fa") - F.unix_seconds("_gb"), F.unix_seconds("_fb") - F.unix_seconds("_ga")) / 3600.0

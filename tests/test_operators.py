@@ -99,6 +99,17 @@ def test_duplicate_candidates_equal_brute_force(spark):
     assert {(x["class_a"], x["class_b"]) for x in c.collect()} == want and 900 not in cls
 
 
+def test_near_copies_meet_whatever_their_language_label(spark):
+    words = [f"w{i}" for i in range(60)]
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, " ".join(words), "en"), (2, " ".join(words), None), (3, " ".join([*words[:-1], "zz"]), "hi"), (4, " ".join(f"v{i}" for i in range(60)), "en")]
+    df = spark.createDataFrame([(i, t, "d", "p", at, lang) for i, t, lang in rows], "id int, t string, d string, p string, at timestamp, l string")
+    m, c = T.duplicate_candidates(df, "id", "t", "d", "p", "at", "l")
+    got = {x["id"]: (x["class_id"], x["language"]) for x in m.collect()}
+    assert got[1][0] == got[2][0] != got[3][0] and [got[i][1] for i in (1, 2, 3)] == ["en", None, "hi"]
+    assert [{x["class_a"], x["class_b"]} for x in c.collect()] == [{got[1][0], got[3][0]}]
+
+
 def test_text_helpers(spark):
     one = spark.range(1)
     assert one.select(T.canonical_url(F.lit("HTTPS://Ex.ORG:443//a//b/?z=1&utm_source=q&b=2#f"))).first()[0] == "https://ex.org/a/b?b=2&z=1"

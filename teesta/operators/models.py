@@ -152,6 +152,12 @@ def rolling_origins(df: DataFrame, week: str, target_week: str, years: Sequence[
     return out
 
 
+def fold_base_rates(df: DataFrame, target_week: str, years: Sequence[int], target: str) -> DataFrame:
+    """fold, base: the target's rate in the training rows of every origin year, target weeks before it; null where there are none."""
+    a = df.agg(*[F.avg(F.when(F.col(target_week) < F.lit(f"{y}-01-01").cast("date"), F.col(target))).alias(f"_{y}") for y in years])
+    return a.select(F.explode(F.array(*[F.struct(F.lit(y).alias("fold"), F.col(f"_{y}").alias("base")) for y in years])).alias("_b")).select("_b.*")
+
+
 def publication_gate(scored: DataFrame, p: str, y: str, base: str, least_events: int = 20) -> DataFrame:
     """n, events, brier, base_brier, reasons, publish: why a model may not be shown."""
     a = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), F.avg(F.pow(F.col(base) - F.col(y), 2)).alias("base_brier"))

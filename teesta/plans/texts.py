@@ -155,9 +155,10 @@ def boosted_trees(s: SparkSession, d: str) -> DataFrame:
 def rolling_origin_gate(s: SparkSession, d: str) -> DataFrame:
     """ML-5, ML-7, ML-9, ML-12, ML-18: ridge against the training base rate over three origins, pooled, and the gate."""
     x = _examples(s, d)
-    scored = M.rolling_origins(x, "week", "target_week", [1998, 1999, 2000], lambda t: M.fit_ridge_logistic(t, COLUMNS, "target").probability())
-    base = x.where("target_week < '1998-01-01'").agg(F.avg("target").alias("base"))
-    return M.publication_gate(scored.crossJoin(F.broadcast(base)), "probability", "target", "base").withColumn("reasons", F.array_join("reasons", ","))  # one row
+    years = [1998, 1999, 2000]
+    scored = M.rolling_origins(x, "week", "target_week", years, lambda t: M.fit_ridge_logistic(t, COLUMNS, "target").probability())
+    base = M.fold_base_rates(x, "target_week", years, "target")
+    return M.publication_gate(scored.join(F.broadcast(base), "fold"), "probability", "target", "base").withColumn("reasons", F.array_join("reasons", ","))  # one row a fold
 
 
 def month_windows(s: SparkSession, d: str) -> DataFrame:

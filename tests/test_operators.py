@@ -121,6 +121,12 @@ def test_text_helpers(spark):
     assert got[1]["visible_text"] == "Hello pdf" and got[1]["title"] == "T" and got[2]["visible_text"] == ""
 
 
+def test_base_rate_of_each_fold(spark):
+    rows = [(dt.date(1997, 5, 1), 1), (dt.date(1998, 5, 1), 0), (dt.date(1999, 5, 1), 0), (dt.date(2000, 5, 1), 1)]
+    x = spark.createDataFrame(rows, "target_week date, target int")
+    assert {tuple(r) for r in M.fold_base_rates(x, "target_week", [1997, 1998, 1999, 2000], "target").collect()} == {(1997, None), (1998, 1.0), (1999, 0.5), (2000, 1 / 3)}
+
+
 def test_reference_sizes(spark, tmp_path):
     rows = [(i % 17 / 17.0, i % 5 / 5.0, int(i * 7 % 17 > 8)) for i in range(600)]
     x = spark.createDataFrame(rows, "a double, b double, y int")

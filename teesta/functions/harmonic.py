@@ -42,6 +42,12 @@ def fit_normal_equations(df: DataFrame, keys: Sequence[str], y: str, features: S
         F.array(*[F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(p)]).alias("_xy"),
         F.count(F.lit(1)).alias("n_fit"),
     )
+    return solve_sums(sums, keys, p, ridge)
+
+
+def solve_sums(sums: DataFrame, keys: Sequence[str], p: int, ridge: float = 1e-3) -> DataFrame:
+    """keys, beta, n_fit from one row a group: `_xx`, the sums of products of the p features (upper triangle by rows), `_xy` and `n_fit`."""
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
     rows, cols = [i for i, _ in cells], [j for _, j in cells]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +65,7 @@ def fit_normal_equations(df: DataFrame, keys: Sequence[str], y: str, features: S
             beta = np.linalg.solve(a, rhs[:, :, None])[:, :, 0]
             yield b[list(keys)].assign(beta=list(beta), n_fit=b["n_fit"])
 
-    schema = T.StructType([*[x.schema[k] for k in keys], T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("n_fit", T.LongType())])
+    schema = T.StructType([*[sums.schema[k] for k in keys], T.StructField("beta", T.ArrayType(T.DoubleType())), T.StructField("n_fit", T.LongType())])
     return sums.mapInPandas(solve, schema)
 
 

@@ -5,20 +5,28 @@ and season; the excesses over a high threshold of that source are fitted with a
 generalised Pareto tail, whose quantile at a fixed risk is the cutoff. Rules
 for physical plausibility and for values that stay the same too long stand
 beside it.
+
+Rows are laid out once by source and block of sequence numbers; whatever is
+known of a source is sent to its blocks, so a source of any size is worked on
+by as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from teesta.functions.harmonic import fit_normal_equations, harmonic_features, predict
+from teesta.functions.harmonic import harmonic_features, predict, solve_sums
 from teesta.functions.stage import settle
 from teesta.session import cut as checkpointed
 
+BLOCK = 65_536
+SUBBLOCK = 4_096
+EPOCH = "2000-01-01"
+
 
 @dataclass(frozen=True)
 class FieldRule:
@@ -46,109 +54,231 @@ def _real(c: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median of `value` per group: equal values are counted before a group is gathered and sorted.
+def _level(v: Column, per_fold: int) -> Column:
+    """The number of a logarithmic bin, rising with `v`; `per_fold` bins to each factor of e, zero in its own."""
+    size = F.floor((F.log(F.abs(v)) + 746.0) * per_fold)
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+
+
+def grouped_median(df: DataFrame, keys: Sequence[str], value: str, name: str, weight: Column | None = None) -> DataFrame:
+    """Exact median of `value` per group: the middle value, or the mean of the two middle values. Nulls don't count.
 
-    The middle value, or the mean of the two middle values. Nulls don't count.
+    Values are counted in logarithmic bins first. The bins hold the middle ranks
+    of a group, however large; only the values of those bins, a few thousandths
+    of the group's range, are then ordered. `weight`: how often a row counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    run = counts.withColumn("_upto", F.sum("_n").over(w)).join(total, list(keys))
+    keys = list(keys)
+    x = df.where(F.col(value).isNotNull()).groupBy(*keys, _level(F.col(value), 256).alias("_bin"), F.col(value).alias("_v")).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n"))
+    bins = x.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(group))
     low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
-    holds = lambda rank: (F.col("_upto") - F.col("_n") <= rank) & (F.col("_upto") > rank)
-    return run.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2).alias(name))
+    middle = bins.where((F.col("_upto") > low) & (F.col("_upto") - F.col("_n") <= high)).select(*keys, "_bin", (F.col("_upto") - F.col("_n")).alias("_below"), "_all")
+    near = x.join(middle, [*keys, "_bin"])
+    run = near.withColumn("_to", F.col("_below") + F.sum("_n").over(Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    holds = lambda rank: (F.col("_to") - F.col("_n") <= rank) & (F.col("_to") > rank)
+    return run.groupBy(*keys).agg(((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias(name))
+
+
+def keyed(rows: DataFrame, row_id: str, source: str, sequence: str, fields: Sequence[str], day: str | None) -> DataFrame:
+    """_id, _src, _seq, _block, _t and the fields. Rows without a sequence number are spread over sixteen blocks below zero."""
+    t = F.datediff(F.to_date(F.col(day)), F.lit(EPOCH).cast("date")).cast("double") if day else F.lit(0.0)
+    seq = F.col(sequence).cast("long")
+    return rows.select(
+        F.col(row_id).alias("_id"), F.col(source).alias("_src"), seq.alias("_seq"),
+        F.coalesce(F.floor(seq / BLOCK), -1 - F.pmod(F.xxhash64(F.col(row_id)), F.lit(16))).cast("long").alias("_block"),
+        F.coalesce(t, F.lit(0.0)).alias("_t"), *[_real(F.col(f)).alias(f) for f in fields],
+    )
+
+
+def one_reading(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """_src, _block, _seq, _t and the fields of each reading once, and of each field `_at_`, its number among the block's
+    values, and `_like_`, the sequence number of the value before where that is equal and not zero.
+
+    A reading sent again under other ids counts once, with the value of the
+    smallest id that has one. Rows without source or sequence number are no
+    readings. One exchange by source and block serves the grouping and the order.
+    """
+    known = rows.where(F.col("_src").isNotNull() & F.col("_seq").isNotNull()).repartition("_src", "_block")
+    first = [F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("_id"))).alias(f) for f in fields]
+    one = known.groupBy("_src", "_block", "_seq").agg(F.min("_t").alias("_t"), *first)
+    order = Window.partitionBy("_src", "_block").orderBy("_seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = {f"_p_{f}": F.last(F.when(F.col(f).isNotNull(), F.struct(F.col(f).alias("v"), F.col("_seq").alias("q"))), ignorenulls=True).over(before) for f in fields}
+    at = {f"_at_{f}": F.count(f).over(order.rowsBetween(Window.unboundedPreceding, 0)) for f in fields}
+    x = one.withColumns(last | at)
+    like = {f"_like_{f}": F.when((F.col(f) == F.col(f"_p_{f}")["v"]) & (F.col(f) != 0), F.col(f"_p_{f}")["q"]) for f in fields}
+    return x.withColumns(like).drop(*last)
+
 
+def _middle(a: Column) -> Column:
+    n = F.size(a)
+    return (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2
 
-def one_reading(rows: DataFrame, source: str, sequence: str, row_id: str, fields: Sequence[str], day: str | None = None) -> DataFrame:
-    """Each reading once: of several rows with the same source and sequence number, per field the value of the smallest row id that has one."""
-    agg = [F.min_by(_real(F.col(f)), F.when(_real(F.col(f)).isNotNull(), F.col(row_id))).alias(f) for f in fields]
-    if day:
-        agg.append(F.datediff(F.min(F.to_date(F.col(day))), F.lit("2000-01-01").cast("date")).cast("double").alias("_t"))
-    return rows.where(F.col(source).isNotNull() & F.col(sequence).isNotNull()).groupBy(F.col(source).alias("_src"), F.col(sequence).cast("long").alias("_seq")).agg(*agg)
+
+def _distance(centre: Column) -> Callable[[Column], Column]:
+    return lambda v: F.abs(v - centre)
 
 
 def centres(readings: DataFrame, fields: Mapping[str, FieldRule]) -> DataFrame:
-    """_src, _field, centre, yardstick."""
-    long = readings.select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), (F.when(F.col(f) > 0, F.col(f)) if r.positive_only else F.col(f)).alias("_v")) for f, r in fields.items()])))
-    median = grouped_median(long, ["_src", "_field"], "_v", "centre")
+    """_src, _field, centre, yardstick.
+
+    A source of one block has no more values than a block has numbers; they are
+    ordered as they stand. Sources of several blocks go through grouped_median.
+    """
+    names = list(fields)
+    wanted = {f: F.when(F.col(f) > 0, F.col(f)) if r.positive_only else F.col(f) for f, r in fields.items()}
+    lists = readings.groupBy("_src", "_block").agg(*[F.sort_array(F.collect_list(wanted[f])).alias(f) for f in names])
+    lists = settle(lists, **{f"_c_{f}": _middle(F.col(f)) for f in names})
+    away = {f: F.sort_array(F.transform(f, _distance(F.col(f"_c_{f}")))) for f in names if not fields[f].positive_only}
+    lists = settle(lists, **{f"_d_{f}": a for f, a in away.items()})
+    yardstick = {f: _middle(F.col(f"_d_{f}")) if f in away else F.lit(None).cast("double") for f in names}
+    by_block = lists.select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f"_c_{f}").alias("_c"), yardstick[f].alias("_y")) for f in names])))
+    # One row a block and field: where there is one block, it says all.
+    per = checkpointed(by_block.groupBy("_src", "_field").agg(F.count(F.lit(1)).alias("_blocks"), F.max("_c").alias("centre"), F.max("_y").alias("yardstick")))
+    alone = per.where((F.col("_blocks") == 1) & F.col("centre").isNotNull()).select("_src", "_field", "centre", "yardstick")
+    large = per.where(F.col("_blocks") > 1).select("_src").distinct()
+    long = readings.join(large, "_src", "left_semi").select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), wanted[f].alias("_v")) for f in names])))
+    counts = long.where(F.col("_v").isNotNull()).groupBy("_src", "_field", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    median = grouped_median(counts, ["_src", "_field"], "_v", "centre", F.col("_c"))
     zero = [f for f, r in fields.items() if r.positive_only]
-    away = long.where(~F.col("_field").isin(zero)).join(median, ["_src", "_field"]).select("_src", "_field", F.abs(F.col("_v") - F.col("centre")).alias("_away"))
-    spread = grouped_median(away, ["_src", "_field"], "_away", "yardstick")
-    joined = median.join(spread, ["_src", "_field"], "left")
+    away = counts.where(~F.col("_field").isin(zero)).join(median, ["_src", "_field"]).select("_src", "_field", F.abs(F.col("_v") - F.col("centre")).alias("_away"), "_c")
+    spread = grouped_median(away, ["_src", "_field"], "_away", "yardstick", F.col("_c"))
+    both = alone.unionByName(median.join(spread, ["_src", "_field"], "left"))
     is_zero = F.col("_field").isin(zero)
-    return joined.select("_src", "_field", F.when(is_zero, 0.0).otherwise(F.col("centre")).alias("centre"), F.when(is_zero, F.col("centre")).otherwise(F.col("yardstick")).alias("yardstick"))
+    return both.select("_src", "_field", F.when(is_zero, 0.0).otherwise(F.col("centre")).alias("centre"), F.when(is_zero, F.col("centre")).otherwise(F.col("yardstick")).alias("yardstick"))
+
+
+def _season(t: Column, days: float = 365.25) -> list[Column]:
+    return harmonic_features(t, days, 1, 3652.5)
 
 
-def tail_cutoffs(readings: DataFrame, middle: DataFrame, fields: Mapping[str, FieldRule], risk: float = 1e-4, tail_share: float = 0.05, season_days: float = 365.25) -> DataFrame:
-    """Per source and field the tail of the seasonal residuals: _src, _field, centre, yardstick, threshold, scale, shape, cutoff, beta.
+def _plausible(f: str, r: FieldRule) -> Column:
+    return F.when(F.col(f).between(r.low, r.high), F.col(f))
 
-    The threshold is the 1 - tail_share quantile of the absolute residuals, or
-    the field rule's own distance where that is smaller, so that every reading
-    the rule speaks of is a peak. Scale and shape are fitted by the method of
-    moments, for which counts, sums and sums of squares of the excesses suffice.
-    Residuals of implausible readings don't enter a fit.
+
+def seasons(readings: DataFrame, fields: Mapping[str, FieldRule]) -> DataFrame:
+    """_src, _field, beta: level, trend and yearly wave of each source's plausible readings.
+
+    All fields' normal equations are summed in one wide aggregate per source, which combines before the shuffle.
     """
-    plausible = lambda f, r: F.when(F.col(f).between(r.low, r.high), F.col(f))
-    long = readings.select("_src", "_t", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), plausible(f, r).alias("_v")) for f, r in fields.items()]))).where(F.col("_v").isNotNull())
-    season = harmonic_features(F.coalesce("_t", F.lit(0.0)), season_days, 1, 3652.5)
-    beta = fit_normal_equations(long, ["_src", "_field"], "_v", season, ridge=1e-2).select("_src", "_field", "beta")
-    model = checkpointed(middle.join(beta, ["_src", "_field"], "left"))
-    # From here on a reading is one row with all its fields, held beside one row of its source.
-    m = {f: F.col("_m")[f] for f in fields}
-    e = readings.join(_by_source(model, "_m"), "_src").select("_src", *[F.abs(plausible(f, r) - F.coalesce(predict(m[f]["beta"], season), m[f]["centre"])).alias(f"_e_{f}") for f, r in fields.items()])
-    q = e.groupBy("_src").agg(*[x for f in fields for x in (F.percentile_approx(f"_e_{f}", 1 - tail_share, 1000).alias(f"_q_{f}"), F.count(f"_e_{f}").alias(f"_n_{f}"))])
-    q = q.select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f"_q_{f}").alias("_q"), F.col(f"_n_{f}").alias("_n"), F.lit(float(r.factor)).alias("_k")) for f, r in fields.items()])))
-    cutoff = checkpointed(q.join(model, ["_src", "_field"]).where(F.col("_n") > 0).select("_src", "_field", F.least("_q", F.col("_k") * F.col("yardstick")).alias("threshold"), "_n"))
-    t = {f: F.col("_c")[f]["threshold"] for f in fields}
-    x = e.join(_by_source(cutoff, "_c"), "_src").select("_src", *[F.when(F.col(f"_e_{f}") > t[f], F.col(f"_e_{f}") - t[f]).alias(f"_x_{f}") for f in fields])
-    w = x.groupBy("_src").agg(*[y for f in fields for y in (F.avg(f"_x_{f}").alias(f"_m_{f}"), F.var_samp(f"_x_{f}").alias(f"_s2_{f}"), F.count(f"_x_{f}").alias(f"_p_{f}"))])
-    g = w.select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f"_m_{f}").alias("_m"), F.col(f"_s2_{f}").alias("_s2"), F.col(f"_p_{f}").alias("_peaks")) for f in fields]))).where(F.col("_peaks") > 0)
-    ratio = F.col("_m") * F.col("_m") / F.when(F.col("_s2") > 0, F.col("_s2"))
-    shape = F.coalesce(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (1 - ratio))), F.lit(0.0))
-    g = g.join(cutoff, ["_src", "_field"]).withColumn("shape", shape).withColumn("scale", F.col("_m") * (1 - F.col("shape")))
-    rate = F.lit(risk) * F.col("_n") / F.col("_peaks")
-    above = F.when(F.abs(F.col("shape")) < 1e-6, -F.col("scale") * F.log(rate)).otherwise(F.col("scale") / F.col("shape") * (F.pow(rate, -F.col("shape")) - 1))
-    g = g.select("_src", "_field", "scale", "shape", (F.col("threshold") + F.greatest(F.lit(0.0), above)).alias("cutoff"))
-    return model.join(cutoff.drop("_n"), ["_src", "_field"], "left").join(g, ["_src", "_field"], "left")
-
-
-def _by_source(df: DataFrame, name: str) -> DataFrame:
-    """One row per source with a map of field to the rest of its columns."""
-    rest = [c for c in df.columns if c not in ("_src", "_field")]
-    return df.groupBy("_src").agg(F.map_from_entries(F.collect_list(F.struct("_field", F.struct(*rest)))).alias(name))
-
-
-def frozen_stretches(readings: DataFrame, fields: Sequence[str], least: int = 8, block: int = 65_536) -> DataFrame:
-    """_src, _seq, _field of the readings in stretches of `least` or more equal successive values, zero excepted; nulls are passed over.
-
-    A source's readings are cut into blocks by sequence number, so one source of
-    any size is worked on by many tasks; stretches that cross block ends are put
-    together from a summary of each block's first and last stretch.
+    x = _season(F.col("_t"))
+    p = len(x)
+    sums = []
+    for f, r in fields.items():
+        v = _plausible(f, r)
+        sums += [F.sum(F.when(v.isNotNull(), x[i] * x[j])).alias(f"{f}_{i}_{j}") for i in range(p) for j in range(i, p)]
+        sums += [F.sum(x[i] * v).alias(f"{f}_{i}_y") for i in range(p)] + [F.count(v).alias(f"{f}_n")]
+    s = readings.groupBy("_src").agg(*sums)
+    each = [
+        F.struct(
+            F.lit(f).alias("_field"), F.array(*[F.col(f"{f}_{i}_{j}") for i in range(p) for j in range(i, p)]).alias("_xx"),
+            F.array(*[F.col(f"{f}_{i}_y") for i in range(p)]).alias("_xy"), F.col(f"{f}_n").alias("n_fit"),
+        )
+        for f in fields
+    ]
+    long = s.select("_src", F.inline(F.array(*each))).where(F.col("n_fit") > 0)
+    return solve_sums(long, ["_src", "_field"], p, ridge=1e-2).select("_src", "_field", "beta")
+
+
+def to_blocks(blocks: DataFrame, per_source: DataFrame) -> DataFrame:
+    """The rows of `per_source` for each block of their source."""
+    return blocks.where(F.col("_src").isNotNull()).select("_src", "_block").distinct().join(per_source, "_src")
+
+
+def _by_source(df: DataFrame, fields: Mapping[str, FieldRule], columns: Sequence[str]) -> DataFrame:
+    """One row per source with a column <name>_<field number> for each of the columns."""
+    return df.groupBy("_src").agg(*[F.first(F.when(F.col("_field") == f, F.col(c)), ignorenulls=True).alias(f"{c}_{i}") for i, f in enumerate(fields) for c in columns])
+
+
+def tail_cutoffs(readings: DataFrame, model: DataFrame, fields: Mapping[str, FieldRule], risk: float = 1e-3, tail_share: float = 0.1) -> DataFrame:
+    """_src, _field, threshold, scale, shape, pareto, reach, cutoff: the generalised Pareto tail of the seasonal residuals.
+
+    `model`: _src, _field, centre, yardstick, beta. From the absolute residuals
+    exceeded by `tail_share` of the plausible readings, by half and by a quarter
+    of it, Pickands' estimator gives shape and scale, which a few wild readings
+    don't move. The shape is held within half a unit and drawn to nought where a
+    source has few readings. `pareto` is the residual exceeded at `risk`.
+    `reach` is the greatest distance of the season's curve from the centre: a
+    reading further than factor x yardstick from the centre has a residual above
+    that distance less reach. The cutoff is the smaller of the two, so no
+    reading the field's rule speaks of lies below it.
+    """
+    names = list(fields)
+    x = readings.join(to_blocks(readings, _by_source(model, fields, ["centre", "beta"])), ["_src", "_block"])
+    curve = {f"_s_{i}": F.coalesce(predict(F.col(f"beta_{i}"), _season(F.col("_t"))), F.col(f"centre_{i}")) for i in range(len(names))}
+    x = settle(x, **curve)
+    shares = F.array(*[F.lit(1 - tail_share / k) for k in (1, 2, 4)])
+    aggs = []
+    for i, (f, r) in enumerate(fields.items()):
+        e = F.abs(_plausible(f, r) - F.col(f"_s_{i}"))
+        aggs += [F.percentile_approx(e, shares, F.lit(1000)).alias(f"q_{i}"), F.count(e).alias(f"n_{i}"), F.max(F.when(F.col(f).isNotNull(), F.abs(F.col(f"_s_{i}") - F.col(f"centre_{i}")))).alias(f"reach_{i}")]
+    q = x.groupBy("_src").agg(*aggs)
+    q = q.select("_src", F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f"q_{i}").alias("_q"), F.col(f"n_{i}").alias("_all"), F.col(f"reach_{i}").alias("reach")) for i, f in enumerate(names)])))
+    near, far = F.get("_q", F.lit(1)) - F.get("_q", F.lit(0)), F.get("_q", F.lit(2)) - F.get("_q", F.lit(1))
+    raw = F.when((near > 0) & (far > 0), F.log(far / near) / F.log(F.lit(2.0))).otherwise(0.0)
+    q = settle(q, shape=F.greatest(F.lit(-0.5), F.least(F.lit(0.5), raw)) * F.col("_all") / (F.col("_all") + 200))
+    flat = F.abs(F.col("shape")) < 1e-6
+    q = settle(q, scale=F.when(flat, near / F.log(F.lit(2.0))).otherwise(near * F.col("shape") / (F.pow(F.lit(2.0), F.col("shape")) - 1)))
+    rate = F.lit(risk / tail_share)
+    over = F.when(flat, -F.col("scale") * F.log(rate)).otherwise(F.col("scale") / F.col("shape") * (F.pow(rate, -F.col("shape")) - 1))
+    q = q.join(model, ["_src", "_field"])
+    factor = F.create_map(*[y for f in names for y in (F.lit(f), F.lit(float(fields[f].factor)))])[F.col("_field")]
+    pareto = F.get("_q", F.lit(0)) + F.greatest(F.lit(0.0), over)
+    surely = factor * F.col("yardstick") - F.col("reach") - F.lit(1e-9) * (1 + F.col("reach"))
+    return q.select("_src", "_field", F.get("_q", F.lit(0)).alias("threshold"), "scale", "shape", pareto.alias("pareto"), "reach", F.coalesce(F.least(pareto, surely), F.lit(-1.0)).alias("cutoff"))
+
+
+def frozen_stretches(readings: DataFrame, fields: Sequence[str], least: int = 8) -> DataFrame:
+    """_src, _field, _from, _to of the stretches of `least` or more equal successive values, zero excepted; nulls are passed over.
+
+    `readings` as one_reading gives them: a stretch is a run of values equal to
+    the one before. Stretches that cross block ends are put together from each
+    block's first and last stretch.
     """
-    blocked = readings.select("_src", "_seq", F.floor(F.col("_seq") / block).alias("_block"), *fields)
-    by_block = Window.partitionBy("_src", "_block").orderBy("_seq")
-    before = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    upto = by_block.rowsBetween(Window.unboundedPreceding, 0)
-    x = blocked.withColumns({f"_prev_{f}": F.last(f, ignorenulls=True).over(before) for f in fields})
-    x = x.withColumns({f"_new_{f}": F.col(f).isNotNull() & (F.col(f"_prev_{f}").isNull() | (F.col(f) != F.col(f"_prev_{f}"))) for f in fields})
-    x = x.withColumns({f"_run_{f}": F.sum(F.col(f"_new_{f}").cast("int")).over(upto) for f in fields})
-    # A value that differs from both neighbours is no stretch; such rows, nearly all, go before anything is grouped. The block's first and last stretch stay.
-    x = x.withColumns({f"_next_{f}": F.lead(f"_run_{f}").over(by_block) for f in fields})
-    stays = lambda f: F.col(f).isNotNull() & ~(F.col(f"_new_{f}") & (F.col(f"_run_{f}") > 1) & F.coalesce(F.col(f"_next_{f}") > F.col(f"_run_{f}"), F.lit(False)))
-    long = x.select("_src", "_block", "_seq", F.inline(F.array_compact(F.array(*[F.when(stays(f), F.struct(F.lit(f).alias("_field"), F.col(f).alias("_v"), F.col(f"_run_{f}").alias("_run"))) for f in fields]))))
-    runs = long.groupBy("_src", "_block", "_field", "_run").agg(F.count(F.lit(1)).alias("_n"), F.first("_v").alias("_v"), F.min("_seq").alias("_from"), F.max("_seq").alias("_to"))
-    in_block = Window.partitionBy("_src", "_block", "_field")
-    runs = runs.withColumn("_lastrun", F.max("_run").over(in_block))  # few runs are left here
-    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_lastrun"))
-    inner = runs.where(~edge & (F.col("_n") >= least) & (F.col("_v") != 0)).select("_src", "_field", "_from", "_to")
-    by_source = Window.partitionBy("_src", "_field").orderBy("_block", "_run")
-    e = runs.where(edge).withColumn("_pb", F.lag("_block").over(by_source)).withColumn("_pv", F.lag("_v").over(by_source))
-    e = e.withColumn("_new", F.when(F.col("_pb").isNull() | (F.col("_pb") == F.col("_block")) | (F.col("_pv") != F.col("_v")), 1).otherwise(0))
-    e = e.withColumn("_island", F.sum("_new").over(by_source.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = e.groupBy("_src", "_field", "_island").agg(F.sum("_n").alias("_n"), F.first("_v").alias("_v"), F.min("_from").alias("_from"), F.max("_to").alias("_to"))
-    outer = joined.where((F.col("_n") >= least) & (F.col("_v") != 0)).select("_src", "_field", "_from", "_to")
-    return inner.unionByName(outer)
+    each = [F.when(F.col(f"_like_{f}").isNotNull(), F.struct(F.lit(f).alias("_field"), F.col(f).alias("_v"), F.col(f"_at_{f}").alias("_at"), F.col(f"_like_{f}").alias("_before"))) for f in fields]
+    equal = readings.select("_src", "_block", "_seq", F.inline(F.array_compact(F.array(*each))))  # few readings equal the one before
+    island = F.col("_at") - F.row_number().over(Window.partitionBy("_src", "_block", "_field").orderBy("_at"))
+    runs = equal.withColumn("_run", island).groupBy("_src", "_block", "_field", "_run").agg(
+        (F.count(F.lit(1)) + 1).alias("_n"), F.min("_v").alias("_v"), F.min("_before").alias("_from"), F.max("_seq").alias("_to"), F.min("_at").alias("_a"), F.max("_at").alias("_z")
+    )
+    # What stands at the ends of the blocks of sources with several.
+    ends = [F.struct(F.lit(f).alias("_field"), F.col(f"n_{f}").alias("_all"), F.col(f"f_{f}").alias("_first"), F.col(f"l_{f}").alias("_last")) for f in fields]
+    has = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.col("_seq").alias("q"), F.col(f).alias("v")))
+    blocks = readings.groupBy("_src", "_block").agg(*[y for f in fields for y in (F.count(f).alias(f"n_{f}"), F.min(has(f)).alias(f"f_{f}"), F.max(has(f)).alias(f"l_{f}"))])
+    blocks = blocks.withColumn("_several", F.count(F.lit(1)).over(Window.partitionBy("_src")) > 1).where("_several").select("_src", "_block", F.inline(F.array(*ends))).where(F.col("_all") > 0)
+    cols = ["_src", "_block", "_field"]
+    head = runs.where(F.col("_a") == 2).select(*cols, F.col("_n").alias("_hn"), F.col("_to").alias("_hto"), F.col("_z").alias("_hz"))
+    tail = runs.join(blocks.select(*cols, "_all"), cols).where(F.col("_z") == F.col("_all")).select(*cols, F.col("_n").alias("_tn"), F.col("_from").alias("_tfrom"))
+    b = blocks.join(head, cols, "left").join(tail, cols, "left")
+    whole = F.coalesce(F.col("_hz") == F.col("_all"), F.col("_all") == 1)
+    first = F.struct(F.lit(0).alias("_k"), F.col("_first.v").alias("_v"), F.coalesce("_hn", F.lit(1)).alias("_n"), F.col("_first.q").alias("_from"), F.coalesce("_hto", F.col("_first.q")).alias("_to"))
+    last = F.when(~whole, F.struct(F.lit(1).alias("_k"), F.col("_last.v").alias("_v"), F.coalesce("_tn", F.lit(1)).alias("_n"), F.coalesce("_tfrom", F.col("_last.q")).alias("_from"), F.col("_last.q").alias("_to")))
+    e = b.select(*cols, F.inline(F.array_compact(F.array(first, last))))
+    by_source = Window.partitionBy("_src", "_field").orderBy("_block", "_k")  # at most two rows a block
+    goes_on = (F.col("_k") == 0) & (F.lag("_v").over(by_source) == F.col("_v"))
+    e = e.withColumn("_island", F.sum(F.when(goes_on, 0).otherwise(1)).over(by_source.rowsBetween(Window.unboundedPreceding, 0)))
+    across = e.groupBy("_src", "_field", "_island").agg(F.sum("_n").alias("_n"), F.min("_v").alias("_v"), F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    columns = ["_src", "_field", "_from", "_to"]
+    # A stretch at a block's end also stands alone here, where it is long enough: the same readings, told twice.
+    return runs.where(F.col("_n") >= least).select(*columns).unionByName(across.where((F.col("_n") >= least) & (F.col("_v") != 0)).select(*columns)).distinct()
+
+
+def _stretches_by_block(stuck: DataFrame) -> DataFrame:
+    """_src, _block, _spans: a map from a part of the block to the stretches that touch it."""
+    part = stuck.select("_src", "_field", "_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") / SUBBLOCK), F.floor(F.col("_to") / SUBBLOCK))).alias("_sub"))
+    lists = part.groupBy("_src", "_sub").agg(F.collect_list(F.struct("_field", "_from", "_to")).alias("_list"))
+    return lists.groupBy("_src", F.floor(F.col("_sub") * SUBBLOCK / BLOCK).cast("long").alias("_block")).agg(F.map_from_entries(F.collect_list(F.struct("_sub", "_list"))).alias("_spans"))
+
+
+def source_tails(rows: DataFrame, row_id: str = "obs_id", source: str = "station", sequence: str = "reading_no", day: str | None = "observed_on", fields: Mapping[str, FieldRule] = STATION_FIELDS, risk: float = 1e-3) -> DataFrame:
+    """source, field_name, centre, yardstick, threshold, scale, shape, pareto, reach, cutoff of each source and field with readings."""
+    readings = checkpointed(one_reading(keyed(rows, row_id, source, sequence, list(fields), day), list(fields)))
+    model = checkpointed(centres(readings, fields).join(seasons(readings, fields), ["_src", "_field"], "full_outer"))
+    tails = tail_cutoffs(readings, model, fields, risk)
+    x = model.drop("beta").join(tails, ["_src", "_field"], "left")
+    return x.select(F.col("_src").alias(source), F.col("_field").alias("field_name"), "centre", "yardstick", "threshold", "scale", "shape", "pareto", "reach", "cutoff")
 
 
 def flag_spikes(
@@ -159,15 +289,15 @@ def flag_spikes(
     day: str | None = "observed_on",
     fields: Mapping[str, FieldRule] = STATION_FIELDS,
     stuck_least: int = 8,
-    risk: float = 1e-4,
+    risk: float = 1e-3,
 ) -> DataFrame:
-    """row_id, field_name, value, impossible, frozen, stands_off, extreme, cutoff of each flagged value.
+    """row_id, field_name, value, impossible, frozen, extreme, stands_off, cutoff of each flagged value.
 
     impossible: outside the field's range. frozen: in a stretch of `stuck_least`
     or more equal successive readings of its source, zero excepted. extreme: the
-    seasonal residual exceeds the Pareto cutoff at `risk`. stands_off: a peak
-    over the threshold that also exceeds the field rule's distance, an exact
-    check on the peaks. Null and NaN are no values. Rows sent again (same source
+    seasonal residual exceeds the source's cutoff (see tail_cutoffs). stands_off:
+    an extreme value that an exact check also finds further from the centre than
+    the field rule says. Null and NaN are no values. Rows sent again (same source
     and sequence number) count once and are flagged under each row id, each row
     by its own value; repeated rows come out as often as they stand. A row
     without source is held to its range alone; one without a sequence number is
@@ -175,29 +305,31 @@ def flag_spikes(
     other columns are ignored.
     """
     names = list(fields)
-    readings = checkpointed(one_reading(rows, source, sequence, row_id, names, day))
-    tails = _by_source(checkpointed(tail_cutoffs(readings, centres(readings, fields), fields, risk)), "_tails")
-    stuck = frozen_stretches(readings, names, stuck_least)
-    # A stretch is told to its readings by blocks of sequence numbers, an equi-join on source and block.
-    block = 4096
-    stuck = stuck.select("_src", "_field", "_from", "_to", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor(F.col("_to") / block))).alias("_b"))
-    stuck = checkpointed(stuck.groupBy("_src", "_b").agg(F.collect_list(F.struct("_field", "_from", "_to")).alias("_spans")))
-    t = F.datediff(F.to_date(F.col(day)), F.lit("2000-01-01").cast("date")).cast("double") if day else F.lit(0.0)
-    x = rows.select(F.col(row_id).alias("_id"), F.col(source).alias("_src"), F.col(sequence).cast("long").alias("_seq"), F.coalesce(t, F.lit(0.0)).alias("_t"), *[_real(F.col(f)).alias(f"_f{i}") for i, f in enumerate(names)])
-    x = x.withColumn("_b", F.floor(F.col("_seq") / block)).join(stuck, ["_src", "_b"], "left").join(tails, "_src", "left")
-    each = [F.struct(F.lit(f).alias("_field"), F.col(f"_f{i}").alias("_v"), F.lit(float(r.low)).alias("_low"), F.lit(float(r.high)).alias("_high"), F.lit(float(r.factor)).alias("_k"), F.try_element_at("_tails", F.lit(f)).alias("_m")) for i, (f, r) in enumerate(fields.items())]
-    x = x.select("_id", "_seq", "_t", "_spans", F.inline(F.array(*each))).where(F.col("_v").isNotNull())
-    season = harmonic_features(F.col("_t"), 365.25, 1, 3652.5)
-    x = settle(x, _e=F.abs(F.col("_v") - F.coalesce(predict(F.col("_m.beta"), season), F.col("_m.centre"))), _d=F.abs(F.col("_v") - F.col("_m.centre")))
-    peak = (F.col("_e") > F.col("_m.threshold")) | (F.col("_d") > F.col("_m.threshold"))
-    x = settle(
-        x,
-        impossible=~F.col("_v").between(F.col("_low"), F.col("_high")),
-        frozen=F.coalesce(F.exists("_spans", lambda s: (s["_field"] == F.col("_field")) & F.col("_seq").between(s["_from"], s["_to"])), F.lit(False)) & (F.col("_v") != 0),
-        stands_off=F.coalesce(peak & (F.col("_d") > F.col("_k") * F.col("_m.yardstick")), F.lit(False)),
-        extreme=F.coalesce(F.col("_e") > F.col("_m.cutoff"), F.lit(False)),
-    )
-    return x.where(F.col("impossible") | F.col("frozen") | F.col("stands_off") | F.col("extreme")).select(F.col("_id").alias(row_id), F.col("_field").alias("field_name"), F.col("_v").alias("value"), "impossible", "frozen", "stands_off", "extreme", F.col("_m.cutoff").alias("cutoff"))
+    all_rows = keyed(rows, row_id, source, sequence, names, day)
+    readings = checkpointed(one_reading(all_rows, names))
+    model = checkpointed(centres(readings, fields).join(seasons(readings, fields), ["_src", "_field"], "full_outer"))
+    tails = model.join(tail_cutoffs(readings, model, fields, risk).select("_src", "_field", "cutoff"), ["_src", "_field"], "left")
+    wide = _by_source(tails, fields, ["centre", "yardstick", "beta", "cutoff"])
+    unnumbered = rows.sparkSession.range(16).select((-1 - F.col("id")).alias("_block"))
+    blocks = to_blocks(readings, wide).unionByName(wide.crossJoin(F.broadcast(unnumbered)), allowMissingColumns=True)  # sixteen rows
+    told = blocks.join(_stretches_by_block(frozen_stretches(readings, names, stuck_least)), ["_src", "_block"], "left")
+    x = all_rows.join(checkpointed(told), ["_src", "_block"], "left")
+    each = []
+    for i, (f, r) in enumerate(fields.items()):
+        v = F.col(f)
+        d = F.abs(v - F.col(f"centre_{i}"))
+        e = F.abs(v - F.coalesce(predict(F.col(f"beta_{i}"), _season(F.col("_t"))), F.col(f"centre_{i}")))
+        sub = F.floor(F.col("_seq") / SUBBLOCK)
+        frozen = F.when(F.col("_spans").isNotNull() & (v != 0), F.exists(F.try_element_at("_spans", sub), lambda s: (s["_field"] == f) & F.col("_seq").between(s["_from"], s["_to"])))  # noqa: B023
+        each.append(
+            F.struct(
+                F.lit(f).alias("field_name"), v.alias("value"), (~v.between(r.low, r.high)).alias("impossible"), F.coalesce(frozen, F.lit(False)).alias("frozen"),
+                F.coalesce(e > F.col(f"cutoff_{i}"), F.lit(False)).alias("extreme"), (d > F.lit(float(r.factor)) * F.col(f"yardstick_{i}")).alias("_off"), F.col(f"cutoff_{i}").alias("cutoff"),
+            )
+        )
+    y = x.select(F.col("_id").alias(row_id), F.inline(F.array(*each))).where(F.col("value").isNotNull())
+    y = y.withColumn("stands_off", F.col("extreme") & F.coalesce("_off", F.lit(False))).drop("_off")
+    return y.where(F.col("impossible") | F.col("frozen") | F.col("extreme"))
 
 
 def suspect_readings(station_observation: DataFrame) -> DataFrame:

@@ -52,9 +52,10 @@ class BoostedTrees:
             self._apply(t, x, rows, out)
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        held = np.arange(len(x)) % 4 == 3
-        a, b = x[~held], y[~held]
+    def fit(self, x: np.ndarray, y: np.ndarray, calibrate: np.ndarray, leave: np.ndarray) -> BoostedTrees:
+        """Trees on the rows that are neither for calibration nor left for others; the calibration on its rows alone."""
+        held = calibrate
+        a, b = x[~calibrate & ~leave], y[~calibrate & ~leave]
         rate = np.clip(b.mean(), 0.01, 0.99)
         self.base = float(np.log(rate / (1 - rate)))
         score = np.full(len(a), self.base)
@@ -63,7 +64,7 @@ class BoostedTrees:
             tree = self._grow(a, p - b, np.maximum(p * (1 - p), 1e-6), np.arange(len(a)), self.depth)
             self.trees.append(tree)
             self._apply(tree, a, np.arange(len(a)), score)
-        z, t = self.raw(x[held]), np.clip(y[held], 0.02, 0.98)
+        z, t = self.raw(x[held]), np.clip(y[held], 0.01, 0.99)
         w = np.array([1.0, 0.0])
         for _ in range(30):  # Newton steps of a two-parameter logistic fit
             p = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -30, 30)))

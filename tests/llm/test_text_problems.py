@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from teesta.llm import langid, leakage, packing, pii, scans, spans
+from teesta.llm import langid, leakage, packing, scans, spans
 
 EN = "The health centre of the block recorded many fevers and tested only few samples in week"
 HI = "स्वास्थ्य केंद्र के अनुसार गांव में लोगों को भर्ती किया गया और दवा दी गई"
@@ -29,25 +29,6 @@ def test_wrong_labels(spark, samples):
     assert langid.wrong_labels(spark.createDataFrame([], "signal_id string, evidence_text string, language string"), samples).count() == 0
 
 
-def test_personal_data(spark):
-    text = "Call +91 59580\n37897 after noon. Kit batch 4633-4890-4534 passed the check. The patient lives at Plot 59/4, Nemasahi Road, Modobali, PIN 071043. Dr. Naruhi Beju signed the sheet. Write to a.b@labha.invalid for the list. Registered under ID 00-0323-5889-6170 by the clerk."
-    df = spark.createDataFrame([("1", text, "x"), ("2", None, None), ("3", "", None), ("4", "Nothing here.", None), ("4", "Nothing here.", None)], "signal_id string, evidence_text string, items string")
-    got = {r["signal_id"]: r for r in pii.redact(df).collect()}
-    assert got["1"]["evidence_text"] == "Call [PHONE] after noon. Kit batch 4633-4890-4534 passed the check. The patient lives at [ADDRESS]. Dr. [PERSON] signed the sheet. Write to [EMAIL] for the list. Registered under ID [ID] by the clerk."
-    assert got["2"]["evidence_text"] is None and got["4"]["evidence_text"] == "Nothing here." and got["3"]["items"] == []
-    assert [text[i["begin"] : i["end"]] for i in got["1"]["items"]][0] == "+91 59580\n37897"
-
-
-def test_personal_data_held_out_accuracy():
-    trees, cutoff = pii.model()
-    import numpy as np
-
-    rows = pii._training(seed=123, size=1500)
-    p = trees.probability(np.array([pii.features(t, a, b, k) for t, a, b, k, _ in rows])) >= cutoff
-    y = np.array([r[4] for r in rows]) == 1
-    assert (p & y).sum() / y.sum() > 0.98 and (p & y).sum() / p.sum() > 0.98
-
-
 def test_levenshtein_automaton_is_complete():
     r = random.Random(1)
     words = {"".join(r.choice("abc") for _ in range(r.randrange(1, 7))): 1 for _ in range(300)}
@@ -95,8 +76,6 @@ def test_very_long_texts(spark):
     reader = scans.Reader({"fever": 50}, {}, set())
     noise, text = scans.read(long, reader)
     assert len(text) > 100_000 and noise == sorted(noise)
-    trees, cutoff = pii.model()
-    assert pii.find(long + " Write to a.b@labha.invalid for the list.", trees, cutoff)[-1][2] == "EMAIL"
     assert langid.infer((EN + ". ") * 2000, langid.NgramModels([("en", EN), ("hi", HI)]))[0][0][0] == "en"
 
 

@@ -33,10 +33,14 @@ def real_share(c: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= 1), F.lit(False))
 
 
-def filler_limits(rows: DataFrame, fields: Sequence[str], times: float = 20.0, share: float = 0.9) -> DataFrame:
-    """One row with the largest believable figure of each field: `times` its `share` quantile over the non-negative values (1 at least)."""
+def filler_limits(rows: DataFrame, group: Column, fields: Sequence[str], times: float = 20.0, share: float = 0.9) -> DataFrame:
+    """_group and the largest believable figure of each field in it: `times` the larger of the group's and the whole table's
+    `share` quantile over the non-negative values (1 at least). A group of large figures may go further than the others."""
     v = lambda f: F.when((F.col(f).cast("double") >= 0) & ~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
-    return rows.agg(*[(F.greatest(F.coalesce(F.percentile_approx(v(f), share, 10000), F.lit(0.0)), F.lit(1.0)) * times).alias(f"_limit_{f}") for f in fields])
+    high = lambda f: F.coalesce(F.percentile_approx(v(f), share, 10000), F.lit(0.0))
+    overall = rows.agg(*[F.greatest(high(f), F.lit(1.0)).alias(f"_all_{f}") for f in fields])
+    own = rows.groupBy(group.alias("_group")).agg(*[high(f).alias(f"_own_{f}") for f in fields])
+    return own.crossJoin(F.broadcast(overall)).select("_group", *[(F.greatest(f"_own_{f}", f"_all_{f}") * times).alias(f"_limit_{f}") for f in fields])  # one row beside each group
 
 
 def nearest_donors(cells: DataFrame, keys: Sequence[str], target_rows: int = 20_000, most_buckets: int = 256) -> DataFrame:
@@ -44,7 +48,7 @@ def nearest_donors(cells: DataFrame, keys: Sequence[str], target_rows: int = 20_
 
     `cells`: keys, `_id`, `_pred`, `_value` (null where missing). Returns the
     cells without a value with `_donor` and `_given` (both null if the group has
-    no donor). Of two donors equally near the one below is taken; of equal
+    no donor) and `_donors`, the number of donors of the group. Of two donors equally near the one below is taken; of equal
     predictions the nearest id in order.
 
     Groups above `target_rows` are cut into buckets of prediction ranges at
@@ -52,12 +56,12 @@ def nearest_donors(cells: DataFrame, keys: Sequence[str], target_rows: int = 20_
     nearest donors beyond a bucket's ends come from a summary of each bucket.
     """
     fractions = [i / most_buckets for i in range(1, most_buckets)]
-    count = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.when(F.count(F.lit(1)) > target_rows, F.percentile_approx("_pred", fractions, 4 * most_buckets)).alias("_q"))
+    count = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.count("_value").alias("_donors"), F.when(F.count(F.lit(1)) > target_rows, F.percentile_approx("_pred", fractions, 4 * most_buckets)).alias("_q"))
     # A group gets as many cuts as its size asks for, so that a row is held against few.
     want = F.least(F.lit(most_buckets), F.ceil(F.col("_n") / target_rows)).cast("int")
     picked = F.transform(F.sequence(F.lit(1), want - 1), lambda i: F.element_at("_q", F.round(i * most_buckets / want).cast("int")))
-    big = count.where(F.col("_n") > target_rows).select(*keys, F.array_distinct(picked).alias("_q"))
-    c = cells.join(big, list(keys), "left")
+    sized = count.select(*keys, "_donors", F.when(F.col("_n") > target_rows, F.array_distinct(picked)).alias("_q"))
+    c = cells.join(sized, list(keys))
     # Equal predictions stay in one bucket; a bucket is the number of cuts below the prediction.
     c = c.withColumn("_bucket", F.coalesce(F.size(F.filter("_q", lambda q: q < F.col("_pred"))), F.lit(-1)).cast("int")).drop("_q")
     donor = F.when(F.col("_value").isNotNull(), F.struct("_pred", "_id", "_value"))
@@ -73,11 +77,11 @@ def nearest_donors(cells: DataFrame, keys: Sequence[str], target_rows: int = 20_
     y = x.where(F.col("_value").isNull()).drop("_value", "_d").join(beyond, [*keys, "_bucket"], "left")
     low, high = F.coalesce("_below", "_lower"), F.coalesce("_above", "_upper")
     pick = F.when(low.isNull(), high).when(high.isNull(), low).when(F.col("_pred") - low["_pred"] <= high["_pred"] - F.col("_pred"), low).otherwise(high)
-    return y.withColumn("_pick", pick).select(*keys, "_id", "_pred", F.col("_pick._id").alias("_donor"), F.col("_pick._value").alias("_given"))
+    return y.withColumn("_pick", pick).select(*keys, "_id", "_pred", "_donors", F.col("_pick._id").alias("_donor"), F.col("_pick._value").alias("_given"))
 
 
 def fill_health_cells(rows: DataFrame) -> DataFrame:
-    """row_id, field_name, filled_value string, donor_row_id of every cell of the four fields without a real value.
+    """row_id, field_name, filled_value string, donor_row_id, group_donors of every cell of the four fields without a real value.
 
     A cell has no real value if it is null, NaN, blank or a stand-in text, a
     share outside 0..1, a negative count, no tests beside positive records, or a
@@ -88,12 +92,13 @@ def fill_health_cells(rows: DataFrame) -> DataFrame:
     columns are ignored.
     """
     counts = ["malaria_tests", "dengue_positive_records"]
-    r = rows.crossJoin(F.broadcast(filler_limits(rows, counts)))  # one row of limits
+    group = F.coalesce(F.col("district_id"), F.lit(""))
+    r = rows.withColumn("_group", group).join(filler_limits(rows, group, counts), "_group")
     log = lambda f: F.log1p(F.greatest(F.coalesce(F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")), F.lit(0.0)), F.lit(0.0)))
     tests_ok = real_count(F.col("malaria_tests"), F.col("_limit_malaria_tests")) & ~F.coalesce((F.col("malaria_tests") == 0) & (F.col("malaria_positive_records") > 0), F.lit(False))
     month = F.coalesce(F.col("month_no").cast("double"), F.lit(0.0)) * F.lit(3.141592653589793 / 6)
     x = r.select(
-        F.coalesce(F.col("district_id"), F.lit("")).alias("_group"),
+        "_group",
         F.col("row_id").alias("_id"),
         log("malaria_microscopy_tests").alias("_x1"), log("malaria_microscopy_positive_records").alias("_x2"), log("malaria_rdt_positive_records").alias("_x3"), log("childhood_diarrhoea_records").alias("_x4"),
         F.sin(month).alias("_x5"), F.cos(month).alias("_x6"),
@@ -109,7 +114,7 @@ def fill_health_cells(rows: DataFrame) -> DataFrame:
     beta = fit_normal_equations(x, ["_field", "_group"], "_y", features).select("_field", "_group", "beta")
     cells = x.join(beta, ["_field", "_group"], "left").select("_field", "_group", "_id", F.coalesce(predict(F.col("beta"), features), F.lit(0.0)).alias("_pred"), "_value")
     found = nearest_donors(cells, ["_field", "_group"])
-    return found.select(F.col("_id").alias("row_id"), F.col("_field").alias("field_name"), F.col("_given").alias("filled_value"), F.col("_donor").alias("donor_row_id"))
+    return found.select(F.col("_id").alias("row_id"), F.col("_field").alias("field_name"), F.col("_given").alias("filled_value"), F.col("_donor").alias("donor_row_id"), F.col("_donors").alias("group_donors"))
 
 
 def filled_health_rows(rows: DataFrame) -> DataFrame:
@@ -125,5 +130,17 @@ def filled_health_rows(rows: DataFrame) -> DataFrame:
 
 
 def cells_without_value(hmis_row: DataFrame) -> DataFrame:
-    """row_id, field_name of the cells that had to be filled."""
-    return fill_health_cells(hmis_row).select("row_id", "field_name")
+    """row_id, field_name of the cells that took over a donor's value, or whose group has no donor at all."""
+    found = fill_health_cells(hmis_row)
+    return found.where((F.col("donor_row_id").isNotNull() & F.col("filled_value").isNotNull()) | (F.col("group_donors") == 0)).select("row_id", "field_name")
+
+
+def donor_audit(hmis_row: DataFrame) -> DataFrame:
+    """row_id, field_name, same_group, same_value: each filled cell held against its donor's own row."""
+    fields = ["malaria_tests", "malaria_test_positivity", "dengue_positive_records", "district_name"]
+    found = fill_health_cells(hmis_row).where(F.col("donor_row_id").isNotNull())
+    stack = F.inline(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("own_value")) for f in fields]))
+    given = hmis_row.select(F.col("row_id").alias("donor_row_id"), F.coalesce("district_id", F.lit("")).alias("donor_group"), stack)
+    taker = hmis_row.select("row_id", F.coalesce("district_id", F.lit("")).alias("own_group"))
+    x = found.join(given, ["donor_row_id", "field_name"], "left").join(taker, "row_id")
+    return x.select("row_id", "field_name", F.coalesce(F.col("own_group") == F.col("donor_group"), F.lit(False)).alias("same_group"), F.coalesce(F.col("filled_value") == F.col("own_value"), F.lit(False)).alias("same_value"))

@@ -317,7 +317,7 @@ def flag_spikes(
     each = []
     for i, (f, r) in enumerate(fields.items()):
         v = F.col(f)
-        d = F.abs(v - F.col(f"centre_{i}"))
+        d = v - F.col(f"centre_{i}") if r.positive_only else F.abs(v - F.col(f"centre_{i}"))
         e = F.abs(v - F.coalesce(predict(F.col(f"beta_{i}"), _season(F.col("_t"))), F.col(f"centre_{i}")))
         sub = F.floor(F.col("_seq") / SUBBLOCK)
         frozen = F.when(F.col("_spans").isNotNull() & (v != 0), F.exists(F.try_element_at("_spans", sub), lambda s: (s["_field"] == f) & F.col("_seq").between(s["_from"], s["_to"])))  # noqa: B023

@@ -7,10 +7,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from teesta.session import local_session
 
-    s = local_session("tests", cores=4, shuffle_partitions=4)
+    s = local_session("tests", cores=4, shuffle_partitions=4, checkpoints=str(tmp_path_factory.mktemp("checkpoints")))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

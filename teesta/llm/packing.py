@@ -22,7 +22,7 @@ def byte_tokens(text: Column) -> Column:
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float, weights: tuple[float, float, float] = (1.0, 0.05, 0.05)) -> np.ndarray:
-    """The bin of each item; sizes are at most `capacity`."""
+    """The bin of each item; sizes are at most `capacity`. An item whose own cost is above `max_cost` gets a bin to itself."""
     order = np.argsort(-sizes, kind="stable")
     bins = np.empty(len(sizes), dtype=np.int64)
     n_open, made = 0, 0
@@ -34,6 +34,9 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float,
     for i in order:
         size = float(sizes[i])
         at = -1
+        if size * size > max_cost:
+            bins[i], made = made, made + 1
+            continue
         if n_open:
             r, s, c = room[:n_open] - size, slots[:n_open] - 1, cost[:n_open] - size * size
             norm = np.where((r >= 0) & (s >= 0) & (c >= 0), wt * r * r + ws * s * s + wc * c * c, np.inf)
@@ -57,9 +60,14 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float,
     return bins
 
 
-def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 8192, max_items: int = 1024, max_cost: float | None = None) -> DataFrame:
+def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 8192, max_items: int = 64, max_cost: float | None = None) -> DataFrame:
     """key, piece_no (from 0), n_pieces, first_token, n_tokens, container_id of each document's pieces.
 
+    Three capacities hold in every container: `capacity` tokens, `max_items`
+    documents, and `max_cost`, the sum of squared lengths, which is what attention
+    within documents costs; by default nine tenths of that of one document that
+    fills the container. A piece that costs more than that travels alone.
+
     Only documents of more than `capacity` tokens are divided, into pieces of
     that size and a rest; rests and whole documents share containers. An empty
     text is one end token; a null text has no piece; repeated rows are items of
@@ -68,7 +76,7 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", capacity
     less than a container or two a partition. Container ids are unique over all
     partitions.
     """
-    max_cost = float(capacity) ** 2 if max_cost is None else max_cost
+    max_cost = 0.9 * float(capacity) ** 2 if max_cost is None else max_cost
     lengths = documents.select(F.col(key).alias("_key"), byte_tokens(F.col(text)).cast("long").alias("_n")).where(F.col("_n").isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,5 +110,20 @@ def divided_documents(documents: DataFrame) -> DataFrame:
 def packing_report(documents: DataFrame) -> DataFrame:
     """One row: documents, pieces, containers, used tokens and the share of room used."""
     p = pack(documents)
-    c = p.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("piece_no") == 0).alias("d"))
-    return c.agg(F.sum("d").alias("documents"), F.sum("k").alias("pieces"), F.count(F.lit(1)).alias("containers"), F.sum("t").alias("used_tokens"), F.max("t").alias("largest"), (F.sum("t") / (F.count(F.lit(1)) * 8192)).alias("share_used"))
+    n = F.col("n_tokens")
+    c = p.groupBy("container_id").agg(F.sum(n).alias("t"), F.count(F.lit(1)).alias("k"), F.count_if(F.col("piece_no") == 0).alias("d"), F.sum(n * n).alias("a"))
+    alone = F.col("k") == 1
+    return c.agg(
+        F.sum("d").alias("documents"), F.sum("k").alias("pieces"), F.count(F.lit(1)).alias("containers"), F.sum("t").alias("used_tokens"), F.max("t").alias("largest"), F.max("k").alias("most_pieces"),
+        F.max(F.when(~alone, F.col("a") / 8192.0 / 8192.0)).alias("greatest_cost"), (F.sum("t") / (F.count(F.lit(1)) * 8192)).alias("share_used"),
+    )
+
+
+def packing_audit(documents: DataFrame) -> DataFrame:
+    """One row: documents, tokens, pieces, divided documents, and whether every container keeps its three capacities."""
+    p = pack(documents)
+    n = F.col("n_tokens")
+    c = p.groupBy("container_id").agg(F.sum(n).alias("t"), F.count(F.lit(1)).alias("k"), F.sum(n * n).alias("a"))
+    kept = c.agg(F.bool_and((F.col("t") <= 8192) & (F.col("k") <= 64) & ((F.col("k") == 1) | (F.col("a") <= 0.9 * 8192 * 8192))).alias("capacities_kept"), (F.sum("t") > 0.9 * 8192 * (F.count(F.lit(1)) - 100)).alias("well_filled"))
+    sums = p.agg(F.count_if(F.col("piece_no") == 0).alias("documents"), F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.count_if((F.col("piece_no") == 0) & (F.col("n_pieces") > 1)).alias("divided"))
+    return sums.crossJoin(kept)  # two single rows

@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
+from teesta.session import checkpoint_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _local.setdefault("folder", tempfile.mkdtemp(prefix="teesta-shelf-"))
-    return folder
+class Shelf:
+    """Tables of one query under a folder of their own in the shared folder; `clear` removes those no longer needed."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark).rstrip('/')}/teesta-{uuid.uuid4().hex}"
+        self.made = 0
 
-def shelve(df: DataFrame) -> DataFrame:
-    """`df` as a written parquet table: computed once, its size known to the planner, safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/teesta-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def put(self, df: DataFrame) -> DataFrame:
+        """`df` as a written parquet table: computed once, its size known to the planner, safe from lost executors."""
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that nothing lazy reads any more."""
+        jvm = self.spark._jvm
+        for t in tables:
+            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                where = jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """`df` in at least as many partitions as there are cores: Python work on few large files would leave most idle."""
+    """`df` in at least as many partitions as there are cores: Python work on few large files would leave most idle.
+
+    A table in more files than that, as every large one is, passes unchanged; a small one is dealt out once.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df

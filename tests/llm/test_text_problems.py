@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from teesta.llm import langid, leakage, packing, scans, spans
@@ -10,6 +11,21 @@ MR = "आरोग्य केंद्र यांच्या माहि
 OR = "ସ୍ୱାସ୍ଥ୍ୟ କେନ୍ଦ୍ର ସୂଚନା ଅନୁସାରେ ଗ୍ରାମରେ ଲୋକଙ୍କୁ ଔଷଧ ଦିଆଯାଇଛି"
 
 
+def test_attention_capacity_binds():
+    """By tokens alone long items share bins whose squared lengths exceed the attention capacity; under it they don't."""
+    sizes = np.array([930] * 20 + [70] * 20 + [640, 360] * 10, dtype=np.int64)
+
+    def costs(bins):
+        return [int((sizes[bins == b] ** 2).sum()) for b in set(bins.tolist())]
+
+    loose, tight = packing.best_fit(sizes, 1000, 64, 1e18), packing.best_fit(sizes, 1000, 64, 0.865 * 1000**2)
+    assert max(costs(loose)) > 0.865 * 1000**2 >= max(costs(tight))
+    assert max(int(sizes[tight == b].sum()) for b in set(tight.tolist())) <= 1000
+    alone = packing.best_fit(np.array([960, 40, 30]), 1000, 64, 0.9 * 1000**2)
+    assert alone[0] not in alone[1:] and alone[1] == alone[2]
+    assert len(set(packing.best_fit(np.full(40, 10), 1000, 8, 1e18).tolist())) == 5
+
+
 @pytest.fixture(scope="module")
 def samples(spark):
     return spark.createDataFrame([("en", EN), ("hi", HI), ("mr", MR), ("or", OR), (None, "x"), ("en", None)], "lang string, sample_text string")
@@ -108,6 +124,8 @@ def test_leaks_equal_brute_force(spark):
     got = {tuple(x) for x in leakage.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string"), 4).collect()}
     runs = lambda t: {tuple(w[i : i + 4]) for w in [leakage.words_of(t)] for i in range(len(w) - 3)}
     assert got == {(d, i) for d, t in docs for i, u in items if runs(t) & runs(u)}
+    small = leakage.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string"), 4, block_chars=60)
+    assert {tuple(x) for x in small.collect()} == got
     assert leakage.words_of("A—b, “Ç” 12 ..") == ["ab", "ç", "12"]
 
 
@@ -144,6 +162,67 @@ def test_chain_prefers_the_ordered_run():
     assert spans.chain([], 10) == (0.0, [])
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, d in enumerate(b):
+            new.append(min(new[j] + 1, row[j] + (c != d), row[j + 1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_edits_equal_the_plain_distance():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abé") for _ in range(r.randrange(0, 90))) for _ in "ab")
+        assert spans.edits(a, b) == plain_distance(a, b)
+
+
+def test_every_anchor_is_in_one_chain():
+    r = random.Random(2)
+    anchors = {(r.randrange(60), r.randrange(60)) for _ in range(150)}
+    found = spans.chains(list(anchors), 5)
+    assert sorted(x for _, path in found for x in path) == sorted(anchors)
+    assert all(a < c and b < d for _, path in found for (a, b), (c, d) in zip(path, path[1:], strict=False))
+    assert found[0] == spans.chain(list(anchors), 5) and found[0][0] == max(s for s, _ in found)
+
+
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_fuzzy_passages_find_planted_edits(spark, crowd):
+    """Passages of 400 signs with an edit in every 50 or so: no exact stretch is long, only chained seeds reach over the edits."""
+    r = random.Random(21)
+    rand = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+
+    def edited(t):
+        out = list(t)
+        for at in range(20, len(t) - 20, 50):
+            i = at + r.randrange(0, 30)
+            out[i] = r.choice(["", "X", "XY", out[i] + "Z"])
+        return "".join(out)
+
+    docs, planted = [], set()
+    for i in range(0, 120, 2):
+        p = rand(400)
+        docs += [(i, rand(300) + p + rand(200)), (i + 1, rand(100) + edited(p) + rand(400))]
+        planted.add((i, i + 1))
+    docs += [(1000 + i, rand(900)) for i in range(30)] + [(2000, None), (2001, ""), (2002, docs[0][1])]
+    df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id bigint, text string, class_id string")
+    members, found = spans.fuzzy_passages(df, 300, crowd=crowd)
+    ids = {}
+    for m in members.collect():
+        ids.setdefault(m["class_id"], []).append(m["doc_id"])
+    rows = found.collect()
+    got = {tuple(sorted((min(ids[x["class_a"]]), min(ids[x["class_b"]])))) for x in rows}
+    assert got <= planted and len(got & planted) / len(planted) >= 0.9
+    text = dict(docs)
+    for x in rows:
+        a, b = text[min(ids[x["class_a"]])][x["begin_a"] : x["end_a"]], text[min(ids[x["class_b"]])][x["begin_b"] : x["end_b"]]
+        assert min(len(a), len(b)) >= 300 and plain_distance(a, b) <= x["edits"] <= 0.1 * max(len(a), len(b))
+    # Without chaining there is nothing: no pair shares a stretch of 100 exactly.
+    assert spans.shared_passages(df.where("doc_id != 2002"), 100, 60)[1].count() == 0
+
+
 def test_shared_amounts(spark):
     p = "".join(random.Random(9).choice("abcdefg") for _ in range(400))
     df = spark.createDataFrame([(1, "x" * 50 + p), (2, p + "y" * 30), (3, "q" * 500), (4, None)], "doc_id bigint, text string")

@@ -45,51 +45,10 @@ def test_wrong_labels(spark, samples):
     assert langid.wrong_labels(spark.createDataFrame([], "signal_id string, evidence_text string, language string"), samples).count() == 0
 
 
-def test_levenshtein_automaton_is_complete():
-    r = random.Random(1)
-    words = {"".join(r.choice("abc") for _ in range(r.randrange(1, 7))): 1 for _ in range(300)}
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a):
-            new = [i + 1]
-            for j, d in enumerate(b):
-                new.append(min(new[j] + 1, row[j] + (c != d), row[j + 1] + 1))
-            row = new
-        return row[-1]
-
-    trie = scans.Trie(words)
-    for q in ("abcab", "a", "ccc", "bacbac"):
-        for most in (1, 2):
-            assert set(scans.LevenshteinAutomaton(q, most).words(trie)) == {w for w in words if distance(q, w) <= most}
-    assert scans.misread_steps("modern", "rnodcrn") == 2 and scans.misread_steps("abc", "abd") is None
-
-
-def test_scans(spark):
-    clean = "the mobile medical unit tested samples from homes near the school hostel"
-    noisy = "Weekly Bulletin Pada\nthe mobile rnedical unit tes-\nPage 4\nWeekly Bulletin Pada\nted samp1es from homes near\nthe school hostel\n\n[5]\n"
-    df = spark.createDataFrame([(str(i), clean) for i in range(30)] + [("n", noisy), ("null", None), ("e", ""), ("t", "1 | 2\n3")], "signal_id string, evidence_text string")
-    reader = scans.learn(df, least=3)
-    got = {r["signal_id"]: r for r in scans.repair(df, reader=reader).collect()}
-    assert {(x["line_no"], x["noise"]) for x in got["n"]["noise"]} == {(1, "header"), (2, "misread"), (2, "broken_word"), (3, "page_mark"), (4, "header"), (5, "misread"), (8, "page_mark")}
-    assert got["n"]["evidence_text"] == "the mobile medical unit tested samples from homes near the school hostel"
-    assert got["null"]["evidence_text"] is None and got["e"]["noise"] == [] and got["t"]["noise"] == [] and got["3"]["noise"] == []
-
-
-def test_misreadings_that_no_confusion_lists():
-    words = {"ସୂଚନା": 500, "लोगों": 500, "hospital": 500, "gabhasahi": 500}
-    triples = {x[i : i + 3]: 9000 if "ga" in x else 40 for x in (" gabhasahi ", " mabhasahi ", " hospital ") for i in range(len(x) - 2)}
-    reader = scans.Reader(words, triples, set())
-    assert scans.misread_steps("लोगों", "लोगो") == 1 and scans.misread_steps("ସୂଚନା", "ସୂଚନ୍ା") == 1
-    assert [reader.corrected(w) for w in ("ସୂଚନ୍ା", "लोगो", "Hosqital", "hospitl", "mabhasahi")] == ["ସୂଚନା", "लोगों", "Hospital", "hospital", None]
-    assert reader.corrected("hosqital", 20) is None
-    assert scans.read("the hosq-\nital and", reader) == ([(1, "broken_word"), (1, "misread")], "the hospital and")
-
-
-def test_very_long_texts(spark):
+def test_very_long_texts():
     r = random.Random(12)
     long = "\n".join(" ".join(r.choice(["fever", "homes", "week", "the", "sample", "in"]) + str(r.randrange(50)) for _ in range(9)) for _ in range(3000))
-    reader = scans.Reader({"fever": 50}, {}, set())
+    reader = scans.Reader({"fever": 50}, {}, {}, scans.Misreadings({}, {"fever": 50}, 1), set())
     noise, text = scans.read(long, reader)
     assert len(text) > 100_000 and noise == sorted(noise)
     assert langid.infer((EN + ". ") * 2000, langid.NgramModels([("en", EN), ("hi", HI)]))[0][0][0] == "en"

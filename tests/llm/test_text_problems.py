@@ -167,7 +167,7 @@ def test_fuzzy_passages_find_planted_edits(spark, crowd):
         planted.add((i, i + 1))
     docs += [(1000 + i, rand(900)) for i in range(30)] + [(2000, None), (2001, ""), (2002, docs[0][1])]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id bigint, text string, class_id string")
-    members, found = spans.fuzzy_passages(df, 300, crowd=crowd)
+    members, found = spans.fuzzy_passages(df, 300, 20, crowd=crowd)
     ids = {}
     for m in members.collect():
         ids.setdefault(m["class_id"], []).append(m["doc_id"])

@@ -61,7 +61,7 @@ class Boosted:
 
     def probability(self) -> Column:
         def walk(t: dict) -> Column:
-            return F.lit(t["v"]) if "v" in t else F.when(F.col(t["c"]) < t["t"], walk(t["l"])).otherwise(walk(t["r"]))
+            return F.lit(t["v"]) if "v" in t else F.when(F.col(t["c"]) <= t["t"], walk(t["l"])).otherwise(walk(t["r"]))
 
         z = F.lit(self.base)
         for t in self.trees:
@@ -75,7 +75,7 @@ def fit_boosted_trees(df: DataFrame, columns: Sequence[str], target: str, rounds
     Rows of the same bins have the same score in every round, so the rounds run
     over such cells with their counts. Only the histograms, columns x bins x
     nodes, come to the driver; leaves take their sums from the split above. Bin
-    edges are quantiles with doubles removed; a value on an edge goes right.
+    edges are quantiles with doubles removed; a value on an edge goes left.
     """
     from teesta.session import cut
 
@@ -84,7 +84,7 @@ def fit_boosted_trees(df: DataFrame, columns: Sequence[str], target: str, rounds
     edges = {c: sorted(set(q or [])) for c, q in zip(columns, quantiles[: len(columns)], strict=True)}
     rate0 = min(max(quantiles[len(columns)] or 0.5, 1e-6), 1 - 1e-6)
     base = float(np.log(rate0 / (1 - rate0)))
-    x = x.withColumns({f"_b{i}": sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[c]), F.lit(0)) for i, c in enumerate(columns)})
+    x = x.withColumns({f"_b{i}": sum((F.when(F.col(c) > e, 1).otherwise(0) for e in edges[c]), F.lit(0)) for i, c in enumerate(columns)})
     cells = [f"_b{i}" for i in range(len(columns))]
     x = cut(x.groupBy(*cells).agg(F.sum("_y").alias("_y"), F.count(F.lit(1)).alias("_n")).withColumn("_z", F.lit(base)))
     trees: list[dict] = []

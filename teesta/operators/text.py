@@ -5,18 +5,18 @@ from __future__ import annotations
 import html.parser
 import re
 import unicodedata
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Cues of each assertion class, in the order of precedence, and function words of English.
-NEGATED = ["no case", "no cases", "not confirmed", "was denied", "no death", "ruled out", "no outbreak"]
-SPECULATIVE = ["not certain", "suspected", "may be", "possible", "awaited", "rumour"]
-NON_CURRENT = ["old registers", "last year", "earlier talk", "previous year", "historical"]
-ENGLISH_WORDS = ["the", "of", "and", "in", "to", "was", "for", "at", "on", "with"]
+from teesta.operators import cues as C
+
+# Code points of the scripts told apart.
 SCRIPT_RANGES = {"latin": r"A-Za-z", "devanagari": r"\x{0900}-\x{097F}", "bengali": r"\x{0980}-\x{09FF}", "odia": r"\x{0B00}-\x{0B7F}"}
 
 
@@ -45,24 +45,40 @@ def script_counts(c: Column) -> dict[str, Column]:
     return {n: F.regexp_count(c, F.lit(rf"[\p{{L}}\p{{M}}&&[{r}]]")) for n, r in SCRIPT_RANGES.items()}
 
 
-def language_route(c: Column, least: float = 0.25) -> Column:
-    """und, mixed (two scripts of a share of `least`), or, bn, hi, en (with a function word), else und-latin."""
-    counts = script_counts(c)
-    total = sum(counts.values(), F.lit(0))
-    strong = sum((F.when(n >= total * least, 1).otherwise(0) for n in counts.values()), F.lit(0))
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+)"), 1)
+def script_votes(c: Column, dominant: float = 0.6) -> Column:
+    """array of (script, letters) by vote: each line gives all its letters to the script that has `dominant` of them, or to each its own."""
+    letters = {"latin": r"A-Za-zÀ-ÖØ-öø-ɏ", "hi": SCRIPT_RANGES["devanagari"], "or": SCRIPT_RANGES["odia"]}
+    lines = F.filter(F.transform(F.split(c, r"\R"), F.trim), lambda x: x != "")
+    counted = F.transform(lines, lambda x: F.struct(*[F.regexp_count(x, F.lit(rf"[\p{{L}}\p{{M}}&&[{r}]]")).alias(n) for n, r in letters.items()]))
+    names = list(letters)
+    total = lambda x: sum((x[n] for n in names), F.lit(0))
+    vote = lambda x: F.struct(*[F.when(F.greatest(*[x[m] for m in names]) >= total(x) * dominant, F.when(x[n] == F.greatest(*[x[m] for m in names]), total(x)).otherwise(0)).otherwise(x[n]).cast("long").alias(n) for n in names])
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in names])
+    votes = F.aggregate(F.transform(counted, vote), zero, lambda acc, x: F.struct(*[(acc[n] + x[n]).alias(n) for n in names]))
+    return F.array(*[F.struct(votes[n].alias("letters"), F.lit(n).alias("script")) for n in names])
+
+
+def language_route(c: Column, dominant: float = 0.6, bilingual: float = 0.25) -> Column:
+    """or, hi, en (with a function word), mixed (two scripts of a share of `bilingual`), else und; by the votes of script_votes."""
+    votes = script_votes(c, dominant)
+    total = F.aggregate(votes, F.lit(0).cast("long"), lambda acc, v: acc + v["letters"])
+    top = F.array_max(votes)
+    words = F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,:;!?()\[\]{}\"'`]+|[.,:;!?()\[\]{}\"'`]+$", ""))
+    strong = F.size(F.filter(votes, lambda v: (v["letters"] >= 2) & (v["letters"] >= total * bilingual)))
     return (
-        F.when(c.isNull() | (total == 0), "und").when(strong >= 2, "mixed").when(counts["odia"] * 2 > total, "or").when(counts["bengali"] * 2 > total, "bn").when(counts["devanagari"] * 2 > total, "hi")
-        .when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in ENGLISH_WORDS])), "en").otherwise("und-latin")
-    )
+        F.when(c.isNull() | (total < 2), "und")
+        .when(top["letters"] >= total * dominant, F.when(top["script"] != "latin", top["script"]).when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in C.ENGLISH_WORDS])), "en").otherwise("und"))
+        .when(strong >= 2, "mixed").otherwise("und")
+    )
 
 
 def assertion_class(c: Column, year_of: Column) -> Column:
-    """negated, speculative, non_current (cue, or a latest year two before `year_of`), else affirmed."""
-    t = F.lower(c)
+    """not_affirmed (a cue or a count of zero cases), speculative, non_current (a cue, or no year later than two before `year_of`), else affirmed."""
+    t = F.lower(collapsed(c))
     has = lambda cues: F.coalesce(F.exists(F.array(*[F.lit(x) for x in cues]), lambda x: F.contains(t, x)), F.lit(False))
-    year = F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"\b(20\d{2})\b"), 1), lambda y: y.cast("int")))
-    return F.when(has(NEGATED), "negated").when(has(SPECULATIVE), "speculative").when(has(NON_CURRENT) | F.coalesce(year < year_of - 1, F.lit(False)), "non_current").otherwise("affirmed")
+    none = F.coalesce(t.rlike(r"\b(?:zero|0)\s+(?:new\s+)?(?:[a-z -]+\s+)?cases?\b"), F.lit(False))
+    year = F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"(?<!\d)(20\d{2})(?!\d)"), 1), lambda y: y.cast("int")))
+    return F.when(none | has(C.NOT_AFFIRMED), "not_affirmed").when(has(C.SPECULATIVE), "speculative").when(has(C.NON_CURRENT) | F.coalesce(year < year_of - 1, F.lit(False)), "non_current").otherwise("affirmed")
 
 
 def sentences(c: Column) -> Column:
@@ -70,26 +86,97 @@ def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"(?<=[.!?।॥])\s+|[\r\n]+"), F.trim), lambda x: x != "")
 
 
-def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, group: str, term: str) -> DataFrame:
-    """key, group, term, at: the longest term of each group that stands in the text as words, and where it begins (from 1).
-
-    The texts are cut into runs of words as long as the terms have words, and
-    met by an equi-join: no text is held against every term. `terms` may have any
-    size; its longest term bounds the runs, its greatest word count is looked up.
+_WORDS = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
+
+
+def _words(text: str) -> tuple[list[str], list[int]]:
+    """Lower-case words of letters, marks and digits, and where each begins."""
+    out, at = [], []
+    for m in _WORDS.finditer(text):
+        out.append(m[0].lower())
+        at.append(m.start())
+    return out, at
+
+
+class TermFinder:
+    """Terms as a search automaton over a text's words: where each group's longest term first stands."""
+
+    def __init__(self, terms: list[tuple[str, str]]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        held: dict[str, list[tuple[str, str]]] = {}
+        for group, term in terms:
+            words = " ".join(_words(term)[0])
+            if words:
+                held.setdefault(f" {words} ", []).append((group, term))
+        for run, names in held.items():
+            self.automaton.add_word(run, (len(run), sorted(names)))
+        if held:
+            self.automaton.make_automaton()
+        self.empty = not held
+
+    def find(self, text: str) -> dict[str, tuple[str, int]]:
+        """group: (term, place from 1)."""
+        if self.empty or not text:
+            return {}
+        words, at = _words(text)
+        if not words:
+            return {}
+        starts, n = {}, 0
+        for i, w in enumerate(words):
+            starts[n] = i
+            n += len(w) + 1
+        best: dict[str, tuple[int, str, int]] = {}
+        for end, (size, names) in self.automaton.iter(f" {' '.join(words)} "):
+            begin = at[starts[end - size + 1]] + 1
+            for group, term in names:
+                rank = (len(term), term, -begin)
+                if group not in best or rank > best[group]:
+                    best[group] = rank
+        return {g: (term, -place) for g, (_, term, place) in best.items()}
+
+
+def match_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, group: str, term: str, most_terms: int = 200_000) -> DataFrame:
+    """key, group, term, at: the longest term of each group that stands in the text as words, and the code point (from 1) where it first begins.
+
+    Up to `most_terms` terms, a size that is checked, go to the tasks as one
+    automaton, and texts are read in batches where they lie. More are met by an
+    equi-join of the texts' runs of words. Null texts and terms match nothing.
     """
+    t = terms.where(F.col(term).isNotNull() & F.col(group).isNotNull()).select(group, term).distinct()
+    some = t.limit(most_terms + 1).collect()
+    kinds = f"_k {texts.schema[key].dataType.simpleString()}, _g {terms.schema[group].dataType.simpleString()}, _m string, at int"
+    if len(some) > most_terms:
+        return _joined_terms(texts, key, text, t, group, term, kinds)
+    shared = texts.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in some])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = TermFinder(shared.value)
+        for b in batches:
+            out = [(k, g, m, at) for k, x in zip(b["_k"], b["_t"], strict=True) for g, (m, at) in finder.find(x or "").items()]
+            yield pd.DataFrame(out, columns=["_k", "_g", "_m", "at"])
+
+    found = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t")).mapInPandas(run, kinds)
+    return found.withColumnsRenamed({"_k": key, "_g": group, "_m": term})
+
+
+def _joined_terms(texts: DataFrame, key: str, text: str, terms: DataFrame, group: str, term: str, kinds: str) -> DataFrame:
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{M}\p{Nd}]+)"), 1)
-    t = terms.where(F.col(term).isNotNull()).select(F.col(group), F.col(term), words(F.col(term)).alias("_w")).where(F.size("_w") > 0)
+    t = terms.select(group, term, words(F.col(term)).alias("_w")).where(F.size("_w") > 0)
     t = t.select(group, term, F.array_join("_w", " ").alias("_run"), F.size("_w").alias("_len"))
     longest = t.agg(F.max("_len")).first()[0] or 1
-    x = texts.select(F.col(key), F.lower(text).alias("_low"), words(F.col(text)).alias("_w"))
+    x = texts.select(F.col(key), F.col(text).alias("_text"), words(F.col(text)).alias("_w"))
+    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1)), lambda i, n=n: F.array_join(F.slice("_w", i, n), " ")) for n in range(1, longest + 1)]))  # noqa: B023
+    hit = x.where(F.size("_w") > 0).select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(t, "_run")
+    best = hit.groupBy(key, group).agg(F.max_by(term, F.struct(F.length(term), term)).alias("_m"))
+    with_text = best.join(texts.select(key, F.col(text).alias("_t")), key)
 
-    def runs_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, g, m, TermFinder([(g, m)]).find(x)[g][1]) for k, g, m, x in zip(b["_k"], b["_g"], b["_m"], b["_t"], strict=True)]
+            yield pd.DataFrame(out, columns=["_k", "_g", "_m", "at"])
 
-    runs = F.flatten(F.array(*[runs_of(n) for n in range(1, longest + 1)]))
-    x = x.where(F.size("_w") > 0).select(key, "_low", F.explode(F.array_distinct(runs)).alias("_run"))
-    hit = x.join(t, "_run").groupBy(key, group).agg(F.max_by(F.struct(term, F.instr(F.col("_low"), F.col("_run")).alias("at")), F.struct(F.length(term), term)).alias("_m"))
-    return hit.select(key, group, F.col(f"_m.`{term}`").alias(term), F.col("_m.at").alias("at"))
+    placed = with_text.select(F.col(key).alias("_k"), F.col(group).alias("_g"), "_m", "_t").mapInPandas(place, kinds)
+    return placed.withColumnsRenamed({"_k": key, "_g": group, "_m": term})
 
 
 def fingerprint(c: Column) -> Column:
@@ -147,22 +234,55 @@ def lexical_rank(texts: DataFrame, key: str, text: str, query: str, k: int = 10,
     return texts.where(F.col(text).isNotNull()).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k).where(F.col("score") >= least)
 
 
-def canonical_url(url: Column, tracking: Sequence[str] = ("utm_source", "utm_medium", "utm_campaign", "fbclid", "gclid", "ref")) -> Column:
-    """Lower-case scheme and host, no default port, fragment or tracking keys, sorted query, no final slash."""
+def canonical_url(url: Column) -> Column:
+    """Lower-case scheme and host, no default port, fragment or tracking keys, sorted query, '.' and '..' resolved, no final slash but that of a bare host.
+
+    A text without scheme or host comes back trimmed.
+    """
     u = F.trim(url)
-    host = F.lower(F.coalesce(F.try_parse_url(u, F.lit("HOST")), F.lit("")))
-    scheme = F.lower(F.coalesce(F.try_parse_url(u, F.lit("PROTOCOL")), F.lit("https")))
+    host = F.lower(F.try_parse_url(u, F.lit("HOST")))
+    scheme = F.lower(F.try_parse_url(u, F.lit("PROTOCOL")))
     port = F.regexp_extract(u, r"^[a-zA-Z]+://[^/?#]*:(\d+)", 1)
-    path = F.regexp_replace(F.regexp_replace(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), r"/{2,}", "/"), r"/$", "")
-    query = F.array_sort(F.filter(F.split(F.coalesce(F.try_parse_url(u, F.lit("QUERY")), F.lit("")), "&"), lambda x: (x != "") & ~F.substring_index(x, "=", 1).isin(list(tracking))))
+    empty = F.array().cast("array<string>")
+    step = lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+    segments = F.aggregate(F.split(F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit("")), "/"), empty, step)
+    key = lambda x: F.lower(F.substring_index(x, "=", 1))
+    query = F.array_sort(F.filter(F.split(F.coalesce(F.try_parse_url(u, F.lit("QUERY")), F.lit("")), "&"), lambda x: (x != "") & ~key(x).startswith("utm_") & ~key(x).isin(C.TRACKING_KEYS)))
     shown = F.when((port != "") & ~((scheme == "http") & (port == "80")) & ~((scheme == "https") & (port == "443")), F.concat(F.lit(":"), port)).otherwise("")
-    return F.concat(scheme, F.lit("://"), host, shown, path, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    whole = F.concat(scheme, F.lit("://"), host, shown, F.lit("/"), F.array_join(segments, "/"), F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
+    return F.coalesce(whole, u)
+
 
+def allowed_host(url: Column, hosts: Sequence[str]) -> Column:
+    """Whether the address is of a listed host or a host under one."""
+    host = F.lower(F.try_parse_url(F.trim(url), F.lit("HOST")))
+    return F.coalesce(F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h))), F.lit(False))
 
-def grounded(answer: Column, evidence: Column) -> Column:
-    """Whether every number of the answer stands in the evidence."""
-    numbers = lambda c: F.regexp_extract_all(ascii_digits(c), F.lit(r"(\d+(?:\.\d+)?)"), 1)
-    return F.size(F.array_except(numbers(answer), numbers(evidence))) == 0
+
+def is_navigation(url: Column) -> Column:
+    """Whether an address only leads on: no path, a listing's segment, a section's front page, or a numbered page."""
+    path = F.lower(F.coalesce(F.try_parse_url(F.trim(url), F.lit("PATH")), F.lit("")))
+    s = F.filter(F.split(path, "/"), lambda x: x != "")
+    n = F.size(s)
+    numbered = (n >= 2) & (F.try_element_at(s, n - 1) == "page") & F.try_element_at(s, n).rlike(r"^\d+$")
+    return (n == 0) | F.arrays_overlap(s, F.array(*[F.lit(x) for x in C.NAVIGATION_SEGMENTS])) | ((n == 1) & F.try_element_at(s, F.lit(1)).isin(C.SECTION_PATHS)) | F.coalesce(numbered, F.lit(False))
+
+
+def numbers(c: Column) -> Column:
+    return F.regexp_extract_all(ascii_digits(c), F.lit(r"(\d+(?:\.\d+)?)"), 1)
+
+
+def grounded(answer: Column, evidence: Column, records: Column | None = None) -> Column:
+    """Whether every number of the answer stands in the evidence, or counts its `records` (1 to that many)."""
+    left = F.array_except(numbers(answer), numbers(evidence))
+    if records is not None:
+        left = F.array_except(left, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), records)), lambda i: i.cast("string")))
+    return F.size(left) == 0
+
+
+def same_numbers(a: Column, b: Column) -> Column:
+    """Whether two texts hold the same numbers, each as often."""
+    return F.array_sort(numbers(a)) == F.array_sort(numbers(b))
 
 
 def citations(answer: Column, most: Column) -> Column:
@@ -178,10 +298,15 @@ def sanitised(c: Column, most: int | None = 2000) -> Column:
 
 
 def evidence_span(c: Column, anchors: Sequence[str], most: int = 2400) -> Column:
-    """At most `most` code points around the earliest anchor, whole texts if shorter."""
+    """(begin from 0, span): at most `most` code points around the earliest anchor, cut back to blanks; a shorter text whole."""
     at = F.least(*[F.nullif(F.instr(F.lower(c), a), F.lit(0)) for a in anchors], F.lit(None).cast("int"))
-    begin = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - most // 2)
-    return F.when(F.length(c) <= most, c).otherwise(F.substring(c, begin, F.lit(most)))
+    begin = F.greatest(F.lit(1), F.least(F.coalesce(at, F.lit(1)) - most // 2, F.length(c) - most + 1))
+    raw = F.substring(c, begin, F.lit(most))
+    # Words cut at either side are dropped, unless the text begins or ends there.
+    head = F.when(begin > 1, F.length(raw) - F.length(F.regexp_replace(raw, r"^\S{0,80}\s+", ""))).otherwise(0)
+    tail = F.when(begin + most <= F.length(c), F.regexp_replace(raw, r"\s+\S{0,80}$", "")).otherwise(raw)
+    span = F.substring(tail, head + 1, F.lit(most))
+    return F.when(F.length(c) <= most, F.struct(F.lit(0).alias("begin"), c.alias("span"))).when(c.isNotNull(), F.struct((begin + head - 1).alias("begin"), span.alias("span")))
 
 
 def text_quality(c: Column) -> Column:
@@ -306,9 +431,23 @@ def read_pages(pages: DataFrame, key: str, body: str, most: float = 0.5, least_l
     return pages.select(F.col(key).alias("_k"), F.col(body).alias("_b")).mapInPandas(run, f"_k {kind}, title string, visible_text string, page_text string, chrome_share double, links array<struct<href:string,label:string>>").withColumnRenamed("_k", key)
 
 
-def link_score(label: Column, url: Column, weights: Mapping[str, int]) -> Column:
-    """Added weights of the patterns that label or address hold."""
-    return sum((F.when(F.concat_ws(" ", label, url).rlike(f"(?i){p}"), w).otherwise(0) for p, w in weights.items()), F.lit(0))
+GENERIC_LABEL = r"(?i)^\s*(?:download|view|open|click here|read more|details|pdf|here|more)\s*(?:\(?pdf\)?)?\s*$"
+
+
+def link_score(label: Column, context: Column, url: Column, pdf: Column, diseases: Sequence[str]) -> Column:
+    """+5 a disease, +3 a health marker, +1 a notice marker, +1 a document, -4 page furniture, -10 navigation, -1 no label."""
+    near = F.lower(F.concat_ws(" ", label, context))
+    has = lambda c, xs: F.exists(F.array(*[F.lit(x) for x in xs]), lambda x: F.contains(c, x))
+    weight = lambda rule, w: F.when(rule, w).otherwise(0)
+    return (
+        weight(has(near, diseases), 5) + weight(has(near, C.HEALTH_MARKERS), 3) + weight(has(near, C.NOTICE_MARKERS), 1) + weight(pdf, 1)
+        + weight(has(F.lower(url), C.CHROME_MARKERS), -4) + weight(is_navigation(url), -10) + weight(F.coalesce(F.trim(label), F.lit("")) == "", -1)
+    )
+
+
+def repaired_label(label: Column, context: Column) -> Column:
+    """A label that only names the control gives way to the row it stands in."""
+    return F.when(label.rlike(GENERIC_LABEL), F.trim(F.concat_ws(" ", context, label))).otherwise(label)
 
 
 # Code points of the two scripts that mean the same letter lie 0x200 apart; dandas are shared.

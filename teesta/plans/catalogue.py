@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from teesta.plans import audits, found, panels, relational, statistics, texts, workflow
+from teesta.plans import audits, found, panels, relational, statistics, texts, views, workflow
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (found, relational, panels, statistics, texts, audits, workflow)
+MODULES = (found, relational, panels, statistics, texts, audits, views, workflow)
 
 
 def queries() -> dict[str, Query]:

@@ -19,14 +19,21 @@ class ContractError(ValueError):
 
 
 def read_csv_exact(spark: SparkSession, path: str, columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """A CSV of exactly these columns, in any order, all as text; blank cells are null. A byte-order mark is passed over."""
+    """A CSV of exactly these columns, in any order, all as text; blank cells are null. A byte-order mark is passed over.
+
+    The first file's header settles the order; the header of every file is held
+    against it as the file is read, and one that differs is an error, not a
+    column misread.
+    """
     head = spark.read.option("header", False).option("encoding", encoding).csv(path).limit(1).first()
-    names = [(c or "").lstrip("﻿").strip() for c in head] if head else []
+    cells = [c or "" for c in head] if head else []
+    names = [c.lstrip("\ufeff").strip() for c in cells]
     missing, unexpected = [c for c in columns if c not in names], [c for c in names if c not in columns]
-    if missing or unexpected:
+    if missing or unexpected or len(names) != len(set(names)):
         raise ContractError(f"missing columns {missing}, unexpected columns {unexpected}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", encoding).option("nullValue", "").csv(path).select(*columns)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in cells])
+    x = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("encoding", encoding).option("nullValue", "").csv(path)
+    return x.toDF(*names).select(*columns)
 
 
 def typed(df: DataFrame, kinds: dict[str, str], key: str) -> tuple[DataFrame, DataFrame]:
@@ -132,11 +139,11 @@ def sniffed(content: Column) -> Column:
 
 
 def write_with_manifest(df: DataFrame, path: str, group: str, mode: str = "errorifexists") -> DataFrame:
-    """Writes parquet and returns its manifest: rows, groups and an order-free digest over all rows."""
+    """Writes parquet and returns its manifest: rows, groups and an order-free digest over all rows, each as often as it stands."""
     df.write.mode(mode).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     h = F.xxhash64(*[F.col(c).cast("string") for c in back.columns])
-    return back.agg(F.lit(path).alias("resource"), F.count(F.lit(1)).alias("row_count"), F.count_distinct(group).alias("group_count"), F.hex(F.bit_xor(h)).alias("digest"))
+    return back.agg(F.lit(path).alias("resource"), F.count(F.lit(1)).alias("row_count"), F.count_distinct(group).alias("group_count"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("digest"))
 
 
 def collect_products(products: dict[str, DataFrame | Exception]) -> tuple[DataFrame, list[tuple[str, str]]]:

@@ -54,3 +54,18 @@ def test_vintages_registry_and_scans(spark, tmp_path):
     assert man["row_count"] == 2 and man["group_count"] == 2
     u, failed = S.collect_products({"x": t, "y": ValueError("down")})
     assert u.count() == 2 and failed == [("y", "down")]
+
+
+def test_every_file_has_the_header(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\n1,2\n")
+    assert [tuple(r) for r in S.read_csv_exact(spark, str(tmp_path), ["b", "a"]).collect()] == [("2", "1")]
+    (tmp_path / "two.csv").write_text("b,a\n9,8\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_csv_exact(spark, str(tmp_path), ["a", "b"]).collect()
+
+
+def test_repeated_rows_count_in_the_digest(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string")
+    one = S.write_with_manifest(rows, str(tmp_path / "p"), "b").first()
+    two = S.write_with_manifest(rows.unionByName(spark.createDataFrame([(3, "z"), (3, "z")], "a int, b string")), str(tmp_path / "q"), "b").first()
+    assert one["digest"] != two["digest"] and two["row_count"] == 4

@@ -1,11 +1,14 @@
 """Timestamps written in many formats and zones, normalised to one UTC instant.
 
-A value is read under every format that fits it. All-number dates with slashes
-may fit several day/month/year orders; which order a source means is a mixture
-over the orders, estimated per source by expectation-maximisation: a value adds
-likelihood to each order under which it is valid, more where the reading agrees
-with a date known from elsewhere in the row. The posterior picks the reading or
-marks the value ambiguous. Values that name no zone are read in the source's
+A value is read under every format that fits it. Three families of values have
+several readings: all-number dates with slashes (day, month and year in three
+orders), day and year of two digits around a month's name (either way), and zone
+abbreviations that stand for several zones. Which reading a source means is a
+mixture, estimated per source and family by expectation-maximisation: a value
+adds likelihood to each reading under which it is valid, more where the reading
+agrees with a date known from elsewhere in the row or with the source's zone. The
+posterior picks the reading or marks the value ambiguous. Shapes with a single
+reading have the posterior one. Values that name no zone are read in the source's
 zone, and local times that occur twice are marked.
 """
 
@@ -29,6 +32,9 @@ ODIA_DIGITS = "୦୧୨୩୪୫୬୭୮୯"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 ZONES = {"z": 0, "utc": 0, "gmt": 0, "ut": 0, "ist": 330, "cet": 60, "cest": 120, "bst": 60, "eet": 120, "eest": 180, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420}
 
+# Abbreviations of several zones, the meaning of ZONES first.
+ZONE_MEANINGS = {"ist": [330, 120, 60], "bst": [60, 360], "cst": [-360, 480]}
+
 ORDERS = ("dmy", "mdy", "ymd")
 _ZONE = r"\s*(z|utc|gmt|ut|[a-z]{3,4}|[+-]\d{2}:?\d{2})?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*(am|pm)?"
@@ -85,14 +91,14 @@ def _parts(v: Column, shape: Column) -> Column:
     return F.split(cases, r"\|", -1)
 
 
-def order_posteriors(cases: DataFrame, keys: list[str], iterations: int = 25, prior_weight: float = 4.0) -> DataFrame:
-    """EM over day/month/year orders per source.
+def reading_posteriors(cases: DataFrame, keys: list[str], iterations: int = 25, prior_weight: float = 4.0) -> DataFrame:
+    """EM over the readings of each source and family.
 
-    `cases` has one row per source: keys, `declared` (an order or null) and
-    `seen`, an array of (signature, n). A signature is three digits, one per
-    order of ORDERS: 0 the value has no such reading, 1 it has, 2 it has one
-    near the row's known date. Returns keys and `posterior`, a map of signature
-    to three probabilities. The declared order enters as a Dirichlet prior.
+    `cases` has one row per group: keys, `favoured` (the number of a reading or
+    null) and `seen`, an array of (signature, n). A signature is three digits,
+    one per reading: 0 the value has no such reading, 1 it has, 2 it has one that
+    agrees with what is known. Returns keys and `posterior`, a map of signature
+    to three probabilities. The favoured reading enters as a Dirichlet prior.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,13 +107,13 @@ def order_posteriors(cases: DataFrame, keys: list[str], iterations: int = 25, pr
             if not len(b):
                 continue
             out = []
-            for declared, seen in zip(b["declared"], b["seen"], strict=True):
+            for favoured, seen in zip(b["favoured"], b["seen"], strict=True):
                 sig = [r["signature"] for r in seen]
                 n = np.array([r["n"] for r in seen], dtype=float)
                 like = weight[np.array([[int(c) for c in s] for s in sig])]
                 prior = np.full(3, 1.0)
-                if declared in ORDERS:
-                    prior[ORDERS.index(declared)] += prior_weight * (1.0 + 0.05 * n.sum())
+                if favoured is not None and favoured == favoured:
+                    prior[int(favoured)] += prior_weight * (1.0 + 0.05 * n.sum())
                 pi = prior / prior.sum()
                 for _ in range(iterations):
                     r = like * pi
@@ -129,8 +135,8 @@ def normalise_timestamps(rows: DataFrame, registry: DataFrame, key: str, source:
     `registry` has one row per source: source_id, time_zone, date_order; a
     source it lacks has neither zone nor order. `context` names a date column
     near the instant, or null. Status: 'ok'; 'missing' (null, blank, or nothing
-    that reads as a time); 'ambiguous_order' (no order reaches the posterior
-    `sure`); 'no_zone' (no zone written and none known); 'repeated_hour' (the local time
+    that reads as a time); 'ambiguous_order' (no reading reaches the
+    posterior `sure`); 'no_zone' (no zone written and none known); 'repeated_hour' (the local time
     occurs twice; the earlier is given; one that is skipped is moved on by the
     gap). utc_micros is null for 'missing', 'no_zone' and 'ambiguous_order'. Every input row comes out
     once, repeated rows as often as they stand; extra columns are ignored.
@@ -158,30 +164,52 @@ def normalise_timestamps(rows: DataFrame, registry: DataFrame, key: str, source:
         fits = wide if order == "ymd" else ~wide
         return F.when(fits, _instant(y, m, d, *clock))
 
+    month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.substring(g["b"], 1, 3)).cast("int")
+    month = F.when(g["b"] == "", _number(g["m"])).otherwise(F.when(month > 0, month))
     is_slash = F.col("_shape") == "slash"
-    slashes = settle(r.where(is_slash), **{f"_{o}": slash(o) for o in ORDERS})
-    near = lambda c: F.when(c.isNull(), "0").when(F.abs(F.datediff(F.date_from_unix_date(F.floor(c / F.lit(86_400 * MICROS)).cast("int")), F.col("_ctx"))) <= 2, "2").otherwise("1")
-    slashes = settle(slashes, _sig=F.concat(*[near(F.col(f"_{o}")) for o in ORDERS]))
-    counted = slashes.where(F.col("_sig") != "000").groupBy("_src", "_order", "_sig").count()
-    cases = counted.groupBy("_src").agg(F.max("_order").alias("declared"), F.collect_list(F.struct(F.col("_sig").alias("signature"), F.col("count").alias("n"))).alias("seen"))
-    post = order_posteriors(cases, ["_src"]).withColumnRenamed("_src", "_psrc")
-    chosen = slashes.join(post, F.col("_src").eqNullSafe(F.col("_psrc")), "left").withColumn("_p", F.try_element_at("posterior", F.col("_sig")))
+    short_year = (F.length(g["y"]) == 2) & (g["b"] != "")
+    several_zones = ~is_slash & g["z"].isin(list(ZONE_MEANINGS))
+    family = F.when(is_slash, "order").when(several_zones, F.concat(F.lit("zone_"), g["z"])).when(short_year, "year")
+    r = settle(r, _family=family)
+    many = r.where(F.col("_family").isNotNull())
+    once = _instant(_number(g["y"]), month, _number(g["d"]), *clock)
+    swapped = F.when(short_year, _instant(_number(g["d"]), month, _number(g["y"]), *clock))
+    zones = F.create_map(*[x for k, v in ZONE_MEANINGS.items() for x in (F.lit(k), F.array(*[F.lit(m) for m in (v + [None, None])[:3]]))])
+    many = settle(many, _once=F.when(~is_slash, once), _means=F.try_element_at(zones, g["z"]))
+    meant = lambda i: F.col("_once") + (F.col("_means")[0] - F.col("_means")[i]).cast("long") * 60 * MICROS
+    readings = [
+        F.when(is_slash, slash(o)).when(several_zones, meant(i)).otherwise([F.col("_once"), swapped, F.lit(None).cast("long")][i])
+        for i, o in enumerate(ORDERS)
+    ]
+    many = settle(many, _r0=readings[0], _r1=readings[1], _r2=readings[2])
+    # What a reading may agree with: the row's date, or, where zones are told apart, the source's own zone.
+    nearby = lambda c: F.abs(F.datediff(F.date_from_unix_date(F.floor(c / F.lit(86_400 * MICROS)).cast("int")), F.col("_ctx"))) <= 2
+    own_zone = lambda i, c: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(c), F.coalesce("_tz", F.lit("UTC")))) - c == F.col("_means")[i].cast("long") * 60 * MICROS
+    digit = lambda i: F.when(F.col(f"_r{i}").isNull(), "0").when(F.when(several_zones, own_zone(i, F.col(f"_r{i}"))).otherwise(nearby(F.col(f"_r{i}"))), "2").otherwise("1")
+    many = settle(many, _sig=F.concat(digit(0), digit(1), digit(2)))
+    counted = many.where(F.col("_sig") != "000").groupBy("_src", "_family", "_order", "_sig").count()
+    favoured = F.when(F.col("_family") != "order", 0).otherwise(F.array_position(F.array(*[F.lit(o) for o in ORDERS]), F.max("_order")) - 1).cast("int")
+    cases = counted.groupBy("_src", "_family").agg(F.when(favoured >= 0, favoured).alias("favoured"), F.collect_list(F.struct(F.col("_sig").alias("signature"), F.col("count").alias("n"))).alias("seen"))
+    post = reading_posteriors(cases, ["_src", "_family"]).withColumnsRenamed({"_src": "_psrc", "_family": "_pfam"})
+    chosen = many.join(post, F.col("_src").eqNullSafe(F.col("_psrc")) & (F.col("_family") == F.col("_pfam")), "left").withColumn("_p", F.try_element_at("posterior", F.col("_sig")))
     best = F.array_max("_p")
     which = F.array_position("_p", best).cast("int")
-    reading = F.when(best >= sure, F.element_at(F.array(*[F.lit(o) for o in ORDERS]), F.when(which > 0, which).otherwise(1)))
-    agree = F.array_distinct(F.array_compact(F.array(*[F.col(f"_{o}") for o in ORDERS])))
-    chosen = settle(chosen, reading=F.when(F.size(agree) == 1, F.coalesce(reading, F.lit("any"))).otherwise(reading))
-    chosen = settle(
-        chosen, _at=F.when(F.size(agree) == 1, agree[0]).when(F.col("reading") == "dmy", F.col("_dmy")).when(F.col("reading") == "mdy", F.col("_mdy")).when(F.col("reading") == "ymd", F.col("_ymd"))
-    )
-    chosen = chosen.select("_key", "written", "_at", F.when(g["z"] != "", g["z"]).alias("_named"), "_tz", F.concat(F.lit("slash_"), "reading").alias("reading"), F.when(F.size(agree) == 0, "missing").when(F.col("reading").isNull(), "ambiguous_order").alias("_bad"))
+    several = F.array(*[F.col(f"_r{i}") for i in range(3)])
+    agree = F.array_distinct(F.array_compact(several))
+    chosen = settle(chosen, _which=F.when(best >= sure, which), _agree=agree)
+    one = F.size("_agree") == 1
+    names = F.when(is_slash, F.element_at(F.array(*[F.lit(f"slash_{o}") for o in ORDERS]), F.col("_which"))).when(several_zones, F.concat(F.lit("zone_"), F.element_at("_means", F.col("_which")).cast("string"))).otherwise(F.element_at(F.array(F.lit("day_first"), F.lit("year_first"), F.lit(None)), F.col("_which")))
+    chosen = chosen.select(
+        "_key", "written", F.when(one, F.col("_agree")[0]).when(F.col("_which").isNotNull(), F.element_at(several, F.col("_which"))).alias("_at"), F.when(g["z"] != "", g["z"]).alias("_named"), "_tz",
+        F.when(F.col("_which").isNotNull(), names).when(one, F.concat("_shape", F.lit("_any"))).alias("reading"),
+        F.when(F.size("_agree") == 0, "missing").when(~one & F.col("_which").isNull(), "ambiguous_order").alias("_bad"),
+    )
 
     at = F.when(F.col("_shape") == "epoch_s", F.col("_v").cast("long") * MICROS).when(F.col("_shape") == "epoch_ms", F.col("_v").cast("long") * 1000).when(F.col("_shape") == "epoch_us", F.col("_v").cast("long"))
     named = F.when(F.col("_shape").startswith("epoch"), F.lit("utc"))
-    month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), F.substring(g["b"], 1, 3)).cast("int")
-    at = at.otherwise(_instant(_number(g["y"]), F.when(g["b"] == "", _number(g["m"])).otherwise(F.when(month > 0, month)), _number(g["d"]), *clock))
+    at = at.otherwise(once)
     named = named.otherwise(F.when(g["z"] != "", g["z"]))
-    plain = settle(r.where(~is_slash), _at=at, _named=named)
+    plain = settle(r.where(F.col("_family").isNull()), _at=at, _named=named)
     plain = plain.select("_key", "written", "_at", "_named", "_tz", F.col("_shape").alias("reading"), F.when(F.col("_at").isNull(), "missing").alias("_bad"))
     both = plain.unionByName(chosen)
     instant = F.timestamp_micros("_at")

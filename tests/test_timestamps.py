@@ -43,3 +43,14 @@ def test_order_by_mixture(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_zones_with_several_meanings(spark):
+    """An abbreviation means what its source's zone says; where nothing speaks for another meaning, the first."""
+    reg = spark.createDataFrame([("il", "Asia/Jerusalem", "dmy"), ("in", "Asia/Kolkata", "dmy"), ("ny", "America/New_York", "mdy")], "source_id string, time_zone string, date_order string")
+    rows = [(f"{s}{i}", s, f"2023-01-{i:02d} 10:00:00 IST") for s in ("il", "in", "ny") for i in range(1, 20)] + [("y", "in", "05-Apr-21 1030 hrs"), ("z", "in", "2023-01-05 10:00:00 EST")]
+    df = spark.createDataFrame(rows, "k string, s string, v string")
+    got = {r["k"]: (r["utc_micros"], r["reading"], r["status"]) for r in normalise_timestamps(df, reg, "k", "s", "v").collect()}
+    noon = 1672567200 * 1_000_000  # 2023-01-01 10:00 UTC
+    assert got["il1"] == (noon - 2 * 3_600_000_000, "zone_120", "ok") and got["in1"] == (noon - 19_800_000_000, "zone_330", "ok") and got["ny1"][0] == noon - 19_800_000_000
+    assert got["y"][1:] == ("day_first", "ok") and got["z"][2] == "ok"

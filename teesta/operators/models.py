@@ -163,3 +163,43 @@ def publication_gate(scored: DataFrame, p: str, y: str, base: str, least_events:
     a = scored.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("events"), F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"), F.avg(F.pow(F.col(base) - F.col(y), 2)).alias("base_brier"))
     reasons = F.array_compact(F.array(F.when(F.col("n") == 0, "no_rows"), F.when(F.coalesce("events", F.lit(0)) < least_events, "too_few_events"), F.when(F.col("events") == F.col("n"), "no_non_events"), F.when(F.col("brier") >= F.col("base_brier"), "no_skill"), F.when(F.isnan("brier"), "undefined_score")))
     return a.withColumn("reasons", reasons).withColumn("publish", F.size("reasons") == 0)
+
+
+def ladder(train: DataFrame, test: DataFrame, key: str, month: str, recent: str, target: str, prior: float = 5.0, high: float = 0.85, low: float = 0.05, models: dict[str, Column] | None = None) -> DataFrame:
+    """contestant, n, brier, chosen: forecasts of growing detail held against one another; the least Brier score is chosen, ties by name.
+
+    unconditional: the training rate. month: the month's rate shrunken to it.
+    key_month: the key's month shrunken to the month's. persistence: `high` after
+    a recent event, else `low`. `models` adds fitted probabilities by name.
+    """
+    g = train.agg(F.avg(target).alias("_g"))
+    m = train.groupBy(month).agg(F.sum(target).alias("_o"), F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(g)).select(month, ((F.col("_o") + prior * F.col("_g")) / (F.col("_n") + prior)).alias("_m"))  # one row
+    k = train.groupBy(key, month).agg(F.sum(target).alias("_o"), F.count(F.lit(1)).alias("_n")).join(m, month).select(key, month, ((F.col("_o") + prior * F.col("_m")) / (F.col("_n") + prior)).alias("_k"))
+    x = test.crossJoin(F.broadcast(g)).join(m, month, "left").join(k, [key, month], "left")  # one row
+    month_rate = F.coalesce("_m", "_g")
+    entries = {"unconditional": F.col("_g"), "month": month_rate, "key_month": F.coalesce(F.col("_k"), month_rate), "persistence": F.when(F.col(recent) > 0, high).otherwise(low)} | (models or {})
+    long = x.select(F.col(target).alias("_y"), F.inline(F.array(*[F.struct(F.lit(n).alias("contestant"), p.cast("double").alias("_p")) for n, p in entries.items()])))
+    s = long.groupBy("contestant").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("_p") - F.col("_y"), 2)).alias("brier"))
+    best = s.agg(F.min_by("contestant", F.struct("brier", "contestant")).alias("_best"))
+    return s.crossJoin(F.broadcast(best)).select("contestant", "n", "brier", (F.col("contestant") == F.col("_best")).alias("chosen"))  # one row
+
+
+def nested_ridge(train: DataFrame, columns: Sequence[str], target: str, at: str, ridges: Sequence[float] = (2.0, 8.0, 32.0), inner_share: float = 0.75) -> tuple[float, list[tuple[float, float]]]:
+    """(the ridge with the least Brier score, every ridge with its score), chosen within the training rows: fitted on the earlier `inner_share` of the time, scored on the rest."""
+    ends = train.agg(F.min(F.unix_date(at)).alias("a"), F.max(F.unix_date(at)).alias("z")).first()
+    cutoff = ends["a"] + int((ends["z"] - ends["a"]) * inner_share)
+    early, late = train.where(F.unix_date(at) < cutoff), train.where(F.unix_date(at) >= cutoff)
+    scored = []
+    for r in ridges:
+        p = fit_ridge_logistic(early, columns, target, ridge=r).probability()
+        scored.append((float(r), float(late.agg(F.avg(F.pow(p - F.col(target), 2))).first()[0])))
+    return min(scored, key=lambda s: (s[1], s[0]))[0], scored
+
+
+def served(rows: DataFrame, key: str, at: str, probability: Column, qualified: DataFrame, low: float = 5e-5, high: float = 0.6) -> DataFrame:
+    """key, at, probability, state of each key's latest row: clipped where the key is qualified; without history or qualification it abstains."""
+    from teesta.operators.relational import latest
+
+    x = latest(rows.withColumn("_p", probability), [key], [at]).join(qualified.select(key, F.lit(True).alias("_q")).distinct(), key, "left")
+    state = F.when(F.col("_q").isNull(), "not_qualified").when(F.col("_p").isNull(), "no_history").otherwise("served")
+    return x.select(key, at, F.when(state == "served", F.greatest(F.lit(low), F.least(F.lit(high), F.col("_p")))).alias("probability"), state.alias("state"))

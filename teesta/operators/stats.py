@@ -128,28 +128,43 @@ def hashed_uniform(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def pit_histogram(df: DataFrame, key: str, p: str, y: str, bins: int = 10, seed: int = 7) -> DataFrame:
-    """Randomised probability integral transform of binary forecasts: bin, n."""
-    u = hashed_uniform(F.col(key), F.lit(seed))
+def pit_histogram(df: DataFrame, u: Column, p: str, y: str, bins: int = 10) -> DataFrame:
+    """bin, n, chi_squared: randomised probability integral transform of binary forecasts, all bins told, and its distance from an even spread.
+
+    `u` is a number in [0, 1) for each row; hashed_uniform makes one from a key.
+    """
     pit = F.when(F.col(y) == 1, 1 - F.col(p) + u * F.col(p)).otherwise(u * (1 - F.col(p)))
-    return df.groupBy(F.least(F.lit(bins - 1), F.floor(pit * bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(F.least(F.lit(bins - 1), F.floor(pit * bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+    even = F.sum("n").over(Window.partitionBy()) / bins  # as many rows as bins
+    return every.withColumn("chi_squared", F.sum(F.pow(F.col("n") - even, 2) / even).over(Window.partitionBy()))
 
 
-def block_bootstrap(df: DataFrame, block: str, p: str, y: str, replicates: int = 2000, seed: int = 7) -> DataFrame:
-    """brier, low, high: 95 % interval of the Brier score with whole blocks drawn again. Rows are reduced to two sums a block first."""
-    b = df.groupBy(block).agg(F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+def block_bootstrap(df: DataFrame, block: str, p: str, y: str, reference: str | None = None, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """brier, low, high of the Brier score with whole blocks drawn again; with a `reference` also delta, delta_low, delta_high, better.
+
+    Model and reference are drawn together, so the difference (reference less
+    model) is of the same blocks; better is the share of replicates where the
+    model wins. Rows are reduced to three sums a block first.
+    """
+    other = F.col(reference) if reference else F.lit(None).cast("double")
+    b = df.groupBy(block).agg(F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_s"), F.sum(F.pow(other - F.col(y), 2)).alias("_q"), F.count(F.lit(1)).alias("_n"))
     b = b.withColumn("_i", F.row_number().over(Window.orderBy(block)) - 1)  # one row a block
     n = b.agg(F.count(F.lit(1)).alias("_blocks"))
     draws = df.sparkSession.range(replicates).withColumnRenamed("id", "_rep").crossJoin(F.broadcast(n)).select("_rep", "_blocks", F.explode(F.sequence(F.lit(0), (F.col("_blocks") - 1).cast("int"))).alias("_k"))  # one row
     draws = draws.select("_rep", F.floor(hashed_uniform(F.col("_rep"), F.col("_k"), F.lit(seed)) * F.col("_blocks")).cast("int").alias("_i"))
-    r = draws.join(b, "_i").groupBy("_rep").agg((F.sum("_s") / F.sum("_n")).alias("_v"))
-    point = df.agg(F.avg(F.pow(F.col(p) - F.col(y), 2)).alias("brier"))
-    return r.agg(F.percentile("_v", F.lit(0.025)).alias("low"), F.percentile("_v", F.lit(0.975)).alias("high")).crossJoin(point)  # two single rows
+    r = draws.join(b, "_i").groupBy("_rep").agg((F.sum("_s") / F.sum("_n")).alias("_v"), ((F.sum("_q") - F.sum("_s")) / F.sum("_n")).alias("_d"))
+    ends = lambda c, lo, hi: [F.percentile(c, F.lit(0.025)).alias(lo), F.percentile(c, F.lit(0.975)).alias(hi)]
+    point = b.agg((F.sum("_s") / F.sum("_n")).alias("brier"), ((F.sum("_q") - F.sum("_s")) / F.sum("_n")).alias("delta"))
+    out = r.agg(*ends("_v", "low", "high"), *ends("_d", "delta_low", "delta_high"), F.avg(F.when(F.col("_d") > 0, 1.0).otherwise(0.0)).alias("better")).crossJoin(point)  # two single rows
+    return out.select("brier", "low", "high", *(["delta", "delta_low", "delta_high", "better"] if reference else []))
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    w = Window.orderBy(value)
-    return df.withColumn(name, F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / 2)
+    """`df` with the mean rank of equal values; ranks run over counts of different values, added up in blocks. Nulls have none."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running_total(counts, value, ["_n"]).select(F.col(value).alias("_of"), (F.col("_before__n") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(value) == F.col("_of"), "left").drop("_of")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -159,16 +174,21 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def priority(df: DataFrame, key: str, p: str, context: str) -> DataFrame:
-    """100 (0.8 percent rank of p + 0.2 context)."""
-    return df.select(key, (100 * (0.8 * F.percent_rank().over(Window.orderBy(p)) + 0.2 * F.col(context))).alias("priority"))
+    """100 (0.8 percent rank of p + 0.2 context); the percent rank is the share of the others below."""
+    counts = df.groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
+    below = running_total(counts, p, ["_n"]).select(F.col(p).alias("_of"), F.col("_before__n").alias("_below"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    x = df.join(below, F.col(p) == F.col("_of")).crossJoin(F.broadcast(total))  # one row
+    rank = F.when(F.col("_all") > 1, F.col("_below") / (F.col("_all") - 1)).otherwise(0.0)
+    return x.select(key, (100 * (0.8 * rank + 0.2 * F.col(context))).alias("priority"))
 
 
 def class_breaks(df: DataFrame, value: str, most: int = 5) -> DataFrame:
     """class_no, low, high, n: up to `most` classes whose lower bounds are quantiles of the different values."""
-    u = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    u = u.withColumn("_rn", F.row_number().over(Window.orderBy("_v")) - 1)
+    u = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
     size = u.agg(F.count(F.lit(1)).alias("_u"))
-    x = u.crossJoin(F.broadcast(size)).withColumn("class_no", F.floor(F.col("_rn") * F.least(F.lit(most), F.col("_u")) / F.col("_u")).cast("int"))  # one row
+    x = running_total(u, "_v", ["_one"]).crossJoin(F.broadcast(size))  # one row
+    x = x.withColumn("class_no", F.floor(F.col("_before__one") * F.least(F.lit(most), F.col("_u")) / F.col("_u")).cast("int"))
     return x.groupBy("class_no").agg(F.min("_v").alias("low"), F.max("_v").alias("high"), F.sum("_n").alias("n"))
 
 

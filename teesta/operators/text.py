@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -234,6 +235,63 @@ def lexical_rank(texts: DataFrame, key: str, text: str, query: str, k: int = 10,
     return texts.where(F.col(text).isNotNull()).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k).where(F.col("score") >= least)
 
 
+def nearest_vectors(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5, block: int = 4096) -> DataFrame:
+    """query_id, key, cosine (6 places), rank_in_group: the k vectors nearest to each query by cosine, itself left out, ties by key.
+
+    The queries are a stated set, held against all vectors: they go to the tasks
+    in blocks of at most `block`, one pass each, and are multiplied with batches
+    of vectors; each task hands on its best k a query. Null vectors and those of
+    length nought have no neighbours.
+    """
+    spark = vectors.sparkSession
+    from teesta.operators.relational import top_per_group
+
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def unit(rows: list) -> np.ndarray:
+        m = np.array([list(r) for r in rows], dtype=np.float64)
+        n = np.sqrt((m * m).sum(axis=1))
+        n[n == 0] = np.nan
+        return m / n[:, None]
+
+    def against(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r[0] for r in rows], unit([r[1] for r in rows])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, m = shared.value
+            best: list[list[tuple[float, object]]] = [[] for _ in ids]
+            for b in batches:
+                if not len(b):
+                    continue
+                keys = b["_k"].tolist()
+                cosine = np.round(m @ unit(b["_v"].tolist()).T, 6)
+                take = min(len(keys), k + 1)
+                for i in range(len(ids)):
+                    row = np.where(np.isnan(cosine[i]), -np.inf, cosine[i])
+                    floor = np.partition(row, len(row) - take)[len(row) - take]
+                    near = [(-row[j], keys[j]) for j in np.flatnonzero(row >= floor) if keys[j] != ids[i] and row[j] > -np.inf]
+                    best[i] = sorted(best[i] + near)[:k]
+            yield pd.DataFrame([(ids[i], x, -c) for i, found in enumerate(best) for c, x in found], columns=["query_id", key, "cosine"])
+
+        return v.mapInPandas(run, f"query_id {kind}, `{key}` {kind}, cosine double")
+
+    held: list = []
+    parts: list[DataFrame] = []
+    for r in q.toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            parts.append(against(held))
+            held = []
+    if held or not parts:
+        parts.append(against(held) if held else v.limit(0).select(F.col("_k").alias("query_id"), F.col("_k").alias(key), F.lit(0.0).alias("cosine")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return top_per_group(out, "query_id", [F.desc("cosine"), F.col(key)], k)
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no default port, fragment or tracking keys, sorted query, '.' and '..' resolved, no final slash but that of a bare host.
 

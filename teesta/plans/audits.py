@@ -47,8 +47,14 @@ def transliteration(s: SparkSession, d: str) -> DataFrame:
 
 
 def glossary_roundtrip(s: SparkSession, d: str) -> DataFrame:
-    """STR-16, STR-18: terms protected, the rest changed, terms restored."""
-    return table(s, d, "documents").where("lang = 'en'").select("doc_id", T.restored(F.upper(T.protected(F.col("text"), TERMS)), TERMS).alias("text"))
+    """STR-16: terms protected, the rest changed, terms restored."""
+    return table(s, d, "documents").select("doc_id", T.restored(F.upper(T.protected(F.col("text"), TERMS)), TERMS).alias("text"))
+
+
+def collapsed_runs(s: SparkSession, d: str) -> DataFrame:
+    """STR-18: a word said three times or more in a row, said once; texts are made to stammer first."""
+    x = table(s, d, "documents").where("text is not null")
+    return x.select("doc_id", T.collapsed_runs(F.concat(F.lit("very very very very "), "text", F.lit(" end end"))).alias("text"))
 
 
 def capped_sentence_counts(s: SparkSession, d: str) -> DataFrame:
@@ -69,7 +75,7 @@ def feature_block_ablation(s: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (catalogue_audit, vintage_summary, snapshot_conflicts, pending_documents, transliteration, glossary_roundtrip, capped_sentence_counts, feature_block_ablation)}
+QUERIES = {f.__name__: f for f in (catalogue_audit, vintage_summary, snapshot_conflicts, pending_documents, transliteration, glossary_roundtrip, collapsed_runs, capped_sentence_counts, feature_block_ablation)}
 
 _OR, _HI = "".join(chr(0x0B00 + i) for i in T._PAIRED), "".join(chr(0x0900 + i) for i in T._PAIRED)
 ORACLE = {
@@ -78,5 +84,5 @@ ORACLE = {
     "snapshot_conflicts": "SELECT content_sha256, count(*) AS n, count(DISTINCT source_id) AS sources, count(DISTINCT byte_length) AS lengths FROM source_snapshot WHERE content_sha256 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source_id) > 1 OR count(DISTINCT byte_length) > 1",
     "pending_documents": "SELECT snapshot_id, content_sha256 FROM source_snapshot WHERE status_code = 200 AND content_type = 'application/pdf' AND content_sha256 IS NOT NULL AND source_id LIKE 'src\\_0%' ESCAPE '\\'",
     "transliteration": f"SELECT doc_id, translate(text, '{_OR}', '{_HI}') AS text_hi FROM documents WHERE lang = 'or'",
-    "glossary_roundtrip": "SELECT doc_id, replace(replace(replace(replace(upper(replace(replace(replace(replace(text, 'test kits', chr(57346)), 'malaria', chr(57345)), 'dengue', chr(57344)), 'kits', chr(57347))), chr(57344), 'dengue'), chr(57345), 'malaria'), chr(57346), 'test kits'), chr(57347), 'kits') AS text FROM documents WHERE lang = 'en'",
+    "glossary_roundtrip": "SELECT doc_id, replace(replace(replace(replace(upper(replace(replace(replace(replace(text, 'test kits', chr(57346)), 'malaria', chr(57345)), 'dengue', chr(57344)), 'kits', chr(57347))), chr(57344), 'dengue'), chr(57345), 'malaria'), chr(57346), 'test kits'), chr(57347), 'kits') AS text FROM documents",
 }

@@ -108,7 +108,7 @@ def statewide_lag_mean(s: SparkSession, d: str) -> DataFrame:
 def completeness_audit(s: SparkSession, d: str) -> DataFrame:
     """AGG-8."""
     x = _weekly(s, d).withColumn("share", F.col("days") / 7)
-    return P.completeness(x, "nation", "week", "share", 52, 0.1).select("nation", "weeks", "first_week", "last_week", "all_complete", "contiguous", "eligible")
+    return P.completeness(x, "nation", "week", "share", 52, 0.8).select("nation", "weeks", "first_week", "last_week", "all_complete", "contiguous", "eligible")
 
 
 def recent_window_features(s: SparkSession, d: str) -> DataFrame:
@@ -119,8 +119,7 @@ def recent_window_features(s: SparkSession, d: str) -> DataFrame:
 
 def anchor_and_edge(s: SparkSession, d: str) -> DataFrame:
     """AGG-32, AGG-34."""
-    w = _weekly(s, d).withColumn("days", F.lit(7))
-    return P.anchor_week(w, "week", "days").crossJoin(P.data_edge(_daily(s, d), table(s, d, "nation").select(F.col("n_nationkey").alias("nation")), "nation", "day"))  # two single rows
+    return P.anchor_week(_weekly(s, d), "week", "days", 400).crossJoin(P.data_edge(_daily(s, d), table(s, d, "nation").select(F.col("n_nationkey").alias("nation")), "nation", "day"))  # two single rows
 
 
 def week_label_distance(s: SparkSession, d: str) -> DataFrame:
@@ -155,8 +154,8 @@ ORACLE = {
     "latest_vintage": "SELECT point_id, vintage_id, observed_days FROM recent_vintage QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY retrieved_at DESC, vintage_id DESC) = 1",
     "lag_rates_complete8": f"WITH {_W} SELECT nation, week, " + ", ".join(f"CASE WHEN week - lag(week, 8) OVER w = 56 THEN round(avg(v) OVER (PARTITION BY nation ORDER BY week ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 4) END AS lag_mean_{n}w" for n in (1, 4, 8)) + " FROM week_ WINDOW w AS (PARTITION BY nation ORDER BY week)",
     "statewide_lag_mean": f"WITH {_W}, s AS (SELECT week, sum(v) AS s, count(v) AS n FROM week_ GROUP BY 1) SELECT week, round(sum(s) OVER w / sum(n) OVER w, 4) AS state_mean FROM s WINDOW w AS (ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)",
-    "completeness_audit": f"WITH {_W} SELECT nation, count(*) AS weeks, min(week) AS first_week, max(week) AS last_week, bool_and(days / 7.0 >= 0.1) AS all_complete, (max(week) - min(week)) / 7 + 1 = count(*) AS contiguous, (max(week) - min(week)) / 7 + 1 = count(*) AND bool_and(days / 7.0 >= 0.1) AND count(*) >= 52 AS eligible FROM week_ GROUP BY 1",
+    "completeness_audit": f"WITH {_W} SELECT nation, count(*) AS weeks, min(week) AS first_week, max(week) AS last_week, bool_and(days / 7.0 >= 0.8) AS all_complete, (max(week) - min(week)) / 7 + 1 = count(*) AS contiguous, (max(week) - min(week)) / 7 + 1 = count(*) AND bool_and(days / 7.0 >= 0.8) AND count(*) >= 52 AS eligible FROM week_ GROUP BY 1",
     "recent_window_features": f"WITH {_D}, a AS (SELECT nation, v, DATE '2000-06-30' - day AS age FROM day_), f AS (SELECT nation, " + ", ".join(f"sum(v) FILTER (age BETWEEN 0 AND {n - 1}) AS s{n}, count(v) FILTER (age BETWEEN 0 AND {n - 1}) / {n}.0 AS c{n}" for n in (7, 14, 28, 56)) + " FROM a GROUP BY 1) SELECT nation, " + ", ".join(f"round(s{n}, 2) AS sum_{n}d, round(c{n}, 4) AS coverage_{n}d" for n in (7, 14, 28, 56)) + ", CASE least(c7, c14, c28, c56) WHEN c56 THEN 56 WHEN c28 THEN 28 WHEN c14 THEN 14 ELSE 7 END AS limiting_window FROM f",
-    "anchor_and_edge": f"WITH {_W} SELECT (SELECT max(week) FROM week_) AS anchor_week, (SELECT CASE WHEN count(*) FILTER (m IS NULL) = 0 THEN min(m) END FROM (SELECT n_nationkey, (SELECT max(day) FROM day_ WHERE nation = n_nationkey) AS m FROM nation)) AS data_edge",
+    "anchor_and_edge": f"WITH {_W} SELECT (SELECT max(week) FROM (SELECT week, min(days) AS least FROM week_ GROUP BY 1) WHERE least = 7 AND (SELECT max(week) FROM week_) - week <= 7 * 399) AS anchor_week, (SELECT CASE WHEN count(*) FILTER (m IS NULL) = 0 THEN min(m) END FROM (SELECT n_nationkey, (SELECT max(day) FROM day_ WHERE nation = n_nationkey) AS m FROM nation)) AS data_edge",
     "week_label_distance": "SELECT o_orderkey, least(g, 52 - g) AS distance FROM (SELECT o_orderkey, abs(o_orderkey % 52 + 1 - week(o_orderdate)) AS g FROM orders)",
 }

@@ -38,10 +38,10 @@ def quantile_grid_circular(s: SparkSession, d: str) -> DataFrame:
 
 
 def percentile_from_grid(s: SparkSession, d: str) -> DataFrame:
-    """AGG-12, ML-13: each week of 2000 placed in its grid, with a band."""
+    """AGG-12, ML-13: each week placed in its grid, with a band."""
     w = _weekly(s, d).select("nation", "week", F.weekofyear("week").alias("week_no"), "v")
     g = S.quantile_grid(w, "nation", "week_no", "v", LEVELS)
-    x = w.where("year(week) = 2000").join(g, ["nation", "week_no"])
+    x = w.join(g, ["nation", "week_no"])
     pct = S.percentile_from_grid(F.col("v"), F.col("grid"), LEVELS)
     return x.select("nation", "week", F.round(pct, 4).alias("percentile")).withColumn("band", F.when(F.col("percentile") >= 0.9, "high").when(F.col("percentile") >= 0.5, "raised").otherwise("low"))
 
@@ -86,13 +86,15 @@ def fixed_bins(s: SparkSession, d: str) -> DataFrame:
 
 
 def pit_histogram(s: SparkSession, d: str) -> DataFrame:
-    """AGG-20."""
-    return S.pit_histogram(_forecast(s, d), "o_orderkey", "p", "y")
+    """AGG-20: the random number of a row is made from its key's digits, as SQL can."""
+    u = F.pmod(F.col("o_orderkey") * 7919, F.lit(10_007)) / F.lit(10_007.0)
+    return S.pit_histogram(_forecast(s, d), u, "p", "y").select("bin", "n", F.round("chi_squared", 6).alias("chi_squared"))
 
 
 def bootstrap_blocks(s: SparkSession, d: str) -> DataFrame:
-    """AGG-21."""
-    return S.block_bootstrap(_forecast(s, d).withColumn("block", F.trunc("day", "month")), "block", "p", "y")
+    """AGG-21: the score and its difference from a constant forecast, drawn together."""
+    x = _forecast(s, d).withColumn("block", F.pmod("o_orderkey", F.lit(52))).withColumn("even", F.lit(0.5))
+    return S.block_bootstrap(x, "block", "p", "y", "even")
 
 
 def spearman_priority_burden(s: SparkSession, d: str) -> DataFrame:
@@ -135,11 +137,13 @@ _F = "f AS (SELECT o_orderkey, o_orderdate::DATE AS day, (o_orderkey * 37 % 101)
 _BINS = f"{_F}, b AS (SELECT *, least((row_number() OVER (ORDER BY p, o_orderkey) - 1) // greatest(1, (SELECT count(*) FROM f) // 10), 9) AS bin FROM f)"
 _WEEK = "week_ AS (SELECT nation, date_trunc('week', day)::DATE AS week, sum(v) AS v FROM (SELECT s_nationkey AS nation, l_shipdate::DATE AS day, sum(l_quantity) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) GROUP BY ALL)"
 _GRID = f"{_WEEK}, x AS (SELECT nation, v, ((least(week(week), 52) - 1 + o + 52) % 52) + 1 AS week_no FROM week_, unnest([-3, -2, -1, 0, 1, 2, 3]) t(o)), g0 AS (SELECT nation, week_no, quantile_cont(v, {LEVELS}) AS q FROM x GROUP BY 1, 2), g AS (FROM g0 UNION ALL SELECT nation, 53, q FROM g0 WHERE week_no = 52)"
+_PIT = "u AS (SELECT *, (o_orderkey * 7919) % 10007 / 10007.0::DOUBLE AS u FROM f)"
 ORACLE = {
     "station_summary_upper_median": "SELECT district_id, count(temperature_c) AS n, max(temperature_c) AS largest, list_sort(list(temperature_c) FILTER (temperature_c IS NOT NULL))[count(temperature_c) // 2 + 1] AS median FROM station_observation WHERE district_id IS NOT NULL GROUP BY 1",
     "ensemble_quantiles": "SELECT year, count(*) AS ensemble_size, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.1), 6) AS p10, round(quantile_cont(m, 0.9), 6) AS p90 FROM (SELECT year(l_shipdate) AS year, l_suppkey, avg(l_quantity) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "quantile_grid_circular": f"WITH {_GRID} SELECT nation, week_no, " + ", ".join(f"round(q[{i + 1}], 3) AS q{i}" for i in range(len(LEVELS))) + " FROM g",
-    "percentile_from_grid": f"WITH {_GRID}, z AS (SELECT w.nation, w.week, round(CASE WHEN v <= q[1] THEN 0.0 WHEN v >= q[7] THEN 1.0 " + " ".join(f"WHEN v <= q[{i + 2}] THEN {LEVELS[i]} + (v - q[{i + 1}]) / (q[{i + 2}] - q[{i + 1}]) * {LEVELS[i + 1] - LEVELS[i]!r}" for i in range(6)) + " END, 4) AS percentile FROM week_ w JOIN g ON g.nation = w.nation AND g.week_no = week(w.week) WHERE year(w.week) = 2000) SELECT *, CASE WHEN percentile >= 0.9 THEN 'high' WHEN percentile >= 0.5 THEN 'raised' ELSE 'low' END AS band FROM z",
+    "percentile_from_grid": f"WITH {_GRID}, z AS (SELECT w.nation, w.week, round(CASE WHEN v <= q[1] THEN 0.0 WHEN v >= q[7] THEN 1.0 " + " ".join(f"WHEN v <= q[{i + 2}] THEN {LEVELS[i]} + (v - q[{i + 1}]) / (q[{i + 2}] - q[{i + 1}]) * {LEVELS[i + 1] - LEVELS[i]!r}" for i in range(6)) + " END, 4) AS percentile FROM week_ w JOIN g ON g.nation = w.nation AND g.week_no = week(w.week)) SELECT *, CASE WHEN percentile >= 0.9 THEN 'high' WHEN percentile >= 0.5 THEN 'raised' ELSE 'low' END AS band FROM z",
+    "pit_histogram": f"WITH {_F}, {_PIT}, c AS (SELECT least(9, floor((CASE WHEN y = 1 THEN 1 - p + u * p ELSE u * (1 - p) END) * 10))::INT AS bin, count(*) AS n FROM u GROUP BY 1), e AS (SELECT b::INT AS bin, coalesce(n, 0) AS n FROM range(10) t(b) LEFT JOIN c ON c.bin = b) SELECT bin, n, round(sum(pow(n - m, 2) / m) OVER (), 6) AS chi_squared FROM (SELECT *, sum(n) OVER () / 10.0 AS m FROM e)",
     "shrunken_climatology": """WITH t AS (SELECT c_nationkey AS nation, week(o_orderdate) AS week_no, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS y FROM orders JOIN customer ON o_custkey = c_custkey), b AS (SELECT (sum(y) + 0.5) / (count(*) + 1) AS g FROM t),
       k AS (SELECT nation, (sum(y) + 5) / (count(*) * any_value(g) + 5) AS r FROM t, b GROUP BY 1), w AS (SELECT wk AS week_no, (sum(y) + 1) / (count(*) * any_value(g) + 1) AS m FROM (SELECT y, ((least(week_no, 52) - 1 + o + 52) % 52) + 1 AS wk FROM t, unnest([-3, -2, -1, 0, 1, 2, 3]) u(o)), b GROUP BY 1)
       SELECT nation, week_no, round(least(0.6, greatest(5e-5, g * r * m)), 8) AS probability FROM k, w, b""",

@@ -12,7 +12,7 @@ from teesta.operators import questions as Q
 from teesta.operators import signals as S
 from teesta.operators import spatial as G
 from teesta.operators import text as T
-from teesta.plans.panels import _events
+from teesta.plans.panels import _E, _events
 from teesta.sources.tables import table
 from teesta.streaming import flows as W
 
@@ -22,12 +22,12 @@ def _aliases(s: SparkSession, d: str) -> DataFrame:
 
 
 def script_profile(s: SparkSession, d: str) -> DataFrame:
-    """STR-6, STR-7."""
+    """STR-6."""
     return table(s, d, "documents").select("doc_id", *[c.cast("bigint").alias(n) for n, c in T.script_counts(F.col("text")).items()])
 
 
 def language_route(s: SparkSession, d: str) -> DataFrame:
-    """STR-8."""
+    """STR-7, STR-8."""
     return table(s, d, "documents").select("doc_id", T.language_route(F.col("text")).alias("route"))
 
 
@@ -100,15 +100,8 @@ def lexical_rank(s: SparkSession, d: str) -> DataFrame:
 
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
     """TXT-8, SRT-4: cosine top five for each vector whose id is divisible by 20, against all."""
-    e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("qn"))
-    # A stated query set against all rows; each query keeps its best in a bounded heap of the aggregate.
-    x = e.join(F.broadcast(q) if q.count() <= 5_000 else q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("norm") * F.col("qn")), 6).alias("cosine"))
-    from teesta.operators.relational import top_per_group
-
-    return top_per_group(x, "query_id", [F.desc("cosine"), F.col("vec_id")], 5)
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return T.nearest_vectors(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
 
 
 def url_canonical(s: SparkSession, d: str) -> DataFrame:
@@ -185,22 +178,44 @@ def boosted_trees(s: SparkSession, d: str) -> DataFrame:
 
 
 def rolling_origin_gate(s: SparkSession, d: str) -> DataFrame:
-    """ML-5, ML-7, ML-9, ML-12, ML-18: ridge against the training base rate over three origins, pooled, and the gate."""
+    """ML-5, ML-7, ML-9, ML-12, ML-18: ridge against the training base rate over six origins, pooled, and the gate; events begin in 1995."""
     x = _examples(s, d)
-    years = [1998, 1999, 2000]
+    years = [1996, 1997, 1998, 1999, 2000, 2001]
     scored = M.rolling_origins(x, "week", "target_week", years, lambda t: M.fit_ridge_logistic(t, COLUMNS, "target").probability())
     base = M.fold_base_rates(x, "target_week", years, "target")
     return M.publication_gate(scored.join(F.broadcast(base), "fold"), "probability", "target", "base").withColumn("reasons", F.array_join("reasons", ","))  # one row a fold
 
 
+def model_ladder(s: SparkSession, d: str) -> DataFrame:
+    """ML-4, ML-11: trained before 1999, tested from then on."""
+    x = _examples(s, d).withColumn("month", F.month("target_week"))
+    train, test = x.where("target_week < '1999-01-01'"), x.where("week >= '1999-01-01'")
+    return M.ladder(train, test, "nation", "month", "e4", "target").withColumn("brier", F.round("brier", 8))
+
+
+def nested_choice(s: SparkSession, d: str) -> DataFrame:
+    """ML-6: the ridges tried within the training years, and the one chosen."""
+    x = _examples(s, d).where("target_week < '1999-01-01'")
+    best, scored = M.nested_ridge(x, COLUMNS, "target", "target_week")
+    return s.createDataFrame([(r, round(b, 6), r == best) for r, b in scored], "ridge double, brier double, chosen boolean")
+
+
+def served_forecasts(s: SparkSession, d: str) -> DataFrame:
+    """ML-8, ML-19: each nation's latest week under the ridge; a nation with fewer than ten events isn't qualified."""
+    x = _examples(s, d)
+    m = M.fit_ridge_logistic(x.where("target_week < '1999-01-01'"), COLUMNS, "target")
+    enough = x.groupBy("nation").agg(F.sum("target").alias("n")).where("n >= 10")
+    return M.served(x.select("nation", "week", *COLUMNS), "nation", "week", m.probability(), enough).withColumn("probability", F.round("probability", 6))
+
+
 def month_windows(s: SparkSession, d: str) -> DataFrame:
-    """STM-2, STM-10..12: week windows over event time."""
+    """STM-10..12: week windows over event time."""
     x = W.windowed_counts(table(s, d, "events").select("ts", "event_type", "value"), "ts", "event_type")
     return x.select(F.col("window_start").cast("date").alias("week"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def attempt_fold(s: SparkSession, d: str) -> DataFrame:
-    """STM-3..6, STM-14."""
+    """STM-14: attempts and errors since the last success; queue_fold has the leases."""
     e = table(s, d, "events").select("user_id", "ts", "event_type", "event_id")
     return W.fold_attempts(e, "user_id", "ts", "event_type", "event_id", "purchase", "error")
 
@@ -224,7 +239,7 @@ def scope_inheritance(s: SparkSession, d: str) -> DataFrame:
     return Q.scope(g, "source_id", "turn", "m").select("signal_id", "resolved", "scope_state")
 
 
-QUERIES = {f.__name__: f for f in (script_profile, language_route, assertion_class, dictionary_match, sentence_links, process_documents, dedup_copies, dedup_cross_language, fingerprint_dups, dedup_candidates, dedup_classes, lexical_rank, vector_topk, url_canonical, numeric_grounding, html_visible_text, html_page_text, evidence_spans, point_in_polygon, grid_cell_shared, ridge_irls, boosted_trees, rolling_origin_gate, month_windows, attempt_fold, ext_sessions, intent_route, scope_inheritance)}
+QUERIES = {f.__name__: f for f in (script_profile, language_route, assertion_class, dictionary_match, sentence_links, process_documents, dedup_copies, dedup_cross_language, fingerprint_dups, dedup_candidates, dedup_classes, lexical_rank, vector_topk, url_canonical, numeric_grounding, html_visible_text, html_page_text, evidence_spans, point_in_polygon, grid_cell_shared, ridge_irls, boosted_trees, rolling_origin_gate, model_ladder, nested_choice, served_forecasts, month_windows, attempt_fold, ext_sessions, intent_route, scope_inheritance)}
 
 _RING = "r AS (SELECT district_id, i, longitude + 0.7 * CASE WHEN i % 2 = 0 THEN 1.0 ELSE 0.45 END * cos(i * 2 * pi() / 10) AS x, latitude + 0.7 * CASE WHEN i % 2 = 0 THEN 1.0 ELSE 0.45 END * sin(i * 2 * pi() / 10) AS y FROM district_gazetteer, range(10) t(i)), e AS (SELECT a.district_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM r a JOIN r b ON a.district_id = b.district_id AND b.i = (a.i + 1) % 10)"
 _HAS = lambda cues, c="t": " OR ".join(f"contains({c}, '{x}')" for x in cues)
@@ -303,6 +318,12 @@ ORACLE = {
     "html_visible_text": r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '\s+', ' ', 'g')) AS visible_text FROM documents",
     "point_in_polygon": f"WITH {_RING}, h AS (SELECT vintage_id, e.district_id FROM recent_vintage v JOIN e ON (ay > latitude) <> (b_y > latitude) AND (bx - ax) * (latitude - ay) / (b_y - ay) + ax > longitude GROUP BY 1, 2 HAVING count(*) % 2 = 1) SELECT v.vintage_id, min(h.district_id) AS district_id FROM recent_vintage v LEFT JOIN h ON h.vintage_id = v.vintage_id GROUP BY 1",
     "grid_cell_shared": "WITH c AS (SELECT district_id, round_even(latitude / 0.5, 0) AS a, round_even(longitude / 0.625, 0) AS b FROM district_gazetteer) SELECT x.district_id, coalesce(string_agg(y.district_id, ',' ORDER BY y.district_id), '') AS shares_cell_with FROM c x LEFT JOIN c y ON x.a = y.a AND x.b = y.b AND x.district_id <> y.district_id GROUP BY 1",
+    "model_ladder": f"""WITH {_E}, x AS (SELECT nation, week, week + 7 AS tw, sum(event) OVER (PARTITION BY nation ORDER BY week ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS e4, lead(event) OVER (PARTITION BY nation ORDER BY week) AS y, row_number() OVER (PARTITION BY nation ORDER BY week) AS pos FROM ev),
+      z AS (SELECT *, month(tw) AS mo FROM x WHERE pos > 1 AND y IS NOT NULL), tr AS (FROM z WHERE tw < DATE '1999-01-01'), te AS (FROM z WHERE week >= DATE '1999-01-01'),
+      g AS (SELECT avg(y) AS g FROM tr), m AS (SELECT mo, (sum(y) + 5 * any_value(g)) / (count(*) + 5) AS m FROM tr, g GROUP BY 1), k AS (SELECT nation, mo, (sum(y) + 5 * any_value(m)) / (count(*) + 5) AS k FROM tr JOIN m USING (mo) GROUP BY 1, 2),
+      p AS (SELECT y, unnest([{{'c': 'unconditional', 'p': g}}, {{'c': 'month', 'p': coalesce(m, g)}}, {{'c': 'key_month', 'p': coalesce(k, m, g)}}, {{'c': 'persistence', 'p': CASE WHEN e4 > 0 THEN 0.85 ELSE 0.05 END::DOUBLE}}], recursive := true) FROM te CROSS JOIN g LEFT JOIN m USING (mo) LEFT JOIN k USING (nation, mo)),
+      s AS (SELECT c AS contestant, count(*) AS n, avg(pow(p - y, 2)) AS b FROM p GROUP BY 1)
+      SELECT contestant, n, round(b, 8) AS brier, contestant = (SELECT arg_min(contestant, (b, contestant)) FROM s) AS chosen FROM s""",
     "month_windows": "SELECT date_trunc('week', ts)::DATE AS week, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "attempt_fold": "WITH e AS (SELECT user_id AS key, (ts, event_id) AS p, event_type AS k FROM events), o AS (SELECT key, max(p) AS ok FROM e WHERE k = 'purchase' GROUP BY 1) SELECT e.key, count(*) AS attempts, count(*) FILTER (k = 'purchase') AS done, count(*) FILTER (k = 'error' AND (ok IS NULL OR p > ok)) AS errors, arg_max(k, p) AS last_kind FROM e LEFT JOIN o ON e.key = o.key GROUP BY 1",
     "ext_sessions": "WITH x AS (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events) SELECT user_id, CAST(sum(new) AS BIGINT) AS sessions, count(*) AS events FROM x GROUP BY 1",

@@ -306,9 +306,9 @@ ORACLE = {
       z AS (SELECT *, substring(t, b, 2400) AS raw FROM y),
       w AS (SELECT *, CASE WHEN b > 1 THEN length(raw) - length(regexp_replace(raw, '^\S{0,80}\s+', '')) ELSE 0 END AS head, CASE WHEN b + 2400 <= n THEN regexp_replace(raw, '\s+\S{0,80}$', '') ELSE raw END AS tail FROM z)
       SELECT doc_id, CASE WHEN n <= 2400 THEN 0 ELSE b + head - 1 END AS "begin", CASE WHEN n <= 2400 THEN t ELSE substring(tail, head + 1) END AS span FROM w""",
-    "dictionary_match": r"""WITH x AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t FROM documents), a AS (SELECT DISTINCT district_id, unnest(string_split(aliases, '|')) AS alias FROM district_gazetteer),
-      p AS (SELECT doc_id, district_id, alias, len(string_split_regex(t, '[^\p{L}\p{M}\p{Nd}]' || lower(alias) || '[^\p{L}\p{M}\p{Nd}]')) > 1 AS hit, length(string_split_regex(t, '[^\p{L}\p{M}\p{Nd}]' || lower(alias) || '[^\p{L}\p{M}\p{Nd}]')[1]) + 1 AS place FROM x JOIN a ON contains(t, lower(alias)))
-      SELECT doc_id, district_id, arg_max(alias, (length(alias), alias)) AS alias, arg_max(place, (length(alias), alias)) AS "at" FROM p WHERE hit GROUP BY 1, 2""",
+    "dictionary_match": r"""WITH x AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\p{L}\p{M}\p{Nd}]', ' ', 'g') || ' ' AS t FROM documents), a AS (SELECT DISTINCT district_id, unnest(string_split(aliases, '|')) AS alias FROM district_gazetteer),
+      p AS (SELECT doc_id, district_id, alias, instr(t, ' ' || lower(alias) || ' ') AS place FROM x JOIN a ON contains(t, ' ' || lower(alias) || ' '))
+      SELECT doc_id, district_id, arg_max(alias, (length(alias), alias)) AS alias, CAST(arg_max(place, (length(alias), alias)) AS INT) AS "at" FROM p GROUP BY 1, 2""",
     "fingerprint_dups": r"SELECT f AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS f FROM documents) GROUP BY 1 HAVING count(*) > 1",
     "lexical_rank": r"WITH x AS (SELECT doc_id, round(len(list_intersect(['indoor', 'spraying', 'malaria', 'cases'], regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}_]+'))) / 4.0, 6) AS score FROM documents WHERE text IS NOT NULL) SELECT doc_id, score FROM x ORDER BY score DESC, doc_id LIMIT 20",
     "vector_topk": "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS cosine FROM embeddings, q WHERE vec_id <> query_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank_in_group FROM x QUALIFY rank_in_group <= 5",

@@ -15,6 +15,7 @@ Texts alike as a whole are one class: only classes are seeded and compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -438,6 +439,36 @@ def shared_amounts(documents: DataFrame, least: int = 300, k: int = 200, crowd:
     return x.select("doc_id", "class_id", "copies", F.coalesce("partners", F.lit(0)).alias("partners"), F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.col("_shared")).alias("shared_chars"), "n_chars")
 
 
+def speaking_pairs(h: np.ndarray, p: np.ndarray, k: int, far: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, distance, gain) of the pairs of seeds in one text that may begin a chain which reaches `far` code points.
+
+    A link of `chains` is worth more than its gaps cost, so up to the first
+    anchor that is `far` or more from a chain's root in both texts the gains
+    outweigh a tenth of both distances. The gains are no more than either text's
+    own seeds cover, nor, up to there, than far - 1 + k. Two texts with such a
+    chain therefore hold one pair of seeds whose distances add up to no more than
+    ten times the lesser gain. Each key comes once, with its least distance and
+    greatest gain. If one seed reaches that far, the keys are the seeds.
+    """
+    if far <= 0:
+        key = np.unique(h)
+        return key, np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    most = far - 1 + k
+    own = np.cumsum(np.minimum(k, np.diff(p, prepend=p[:1])))
+    lo, hi = np.searchsorted(p, p + far), np.searchsorted(p, p + 10 * most - far, "right")
+    n = np.maximum(0, hi - lo)
+    x = np.repeat(np.arange(len(p)), n)
+    y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    d, gain = p[y] - p[x], np.minimum(own[y] - own[x], most)
+    fits = d + far <= 10 * gain
+    x, y, d, gain = x[fits], y[fits], d[fits], gain[fits]
+    key, at = np.unique(h[x] * _B + h[y], return_inverse=True)
+    least, best = np.full(len(key), np.iinfo(np.int64).max), np.zeros(len(key), np.int64)
+    np.minimum.at(least, at, d)
+    np.maximum.at(best, at, gain)
+    return key, least, best
+
+
 def fuzzy_passages(documents: DataFrame, least: int = 300, k: int = 48, alike: float = 0.9, crowd: int = 16, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(members, passages): passages of `least` or more code points that two texts share but for some edits.
 
@@ -449,38 +480,64 @@ def fuzzy_passages(documents: DataFrame, least: int = 300, k: int = 48, alike: f
     span six tenths of `least` and hold a fifth of what they span, and the
     aligned chain is long and alike enough. Null and shorter texts have none.
 
-    A seed that more than `crowd` classes share links each of them to the first
-    of them (in order of class id), not to one another: a passage in many texts
-    comes out as pairs with one representative. Chains are formed from places
-    alone; texts are read only for the pairs a chain speaks for.
+    Every two classes are held against each other, however many share a seed: a
+    passage in n texts comes out as n (n - 1) / 2 pairs. Seeds aren't joined with
+    themselves but pairs of them that stand far enough apart in a text
+    (`speaking_pairs`), which leaves out only classes no chain of which can
+    suffice; a phrase in many texts alone joins none. Then chains are formed from
+    all common seeds, from places alone; texts are read only for the pairs a
+    chain speaks for. `crowd` has no effect any more: no number of classes is too many.
     """
     shelf = Shelf(documents.sparkSession)
     name = lambda c: F.lower(F.hex(c))
     docs = _classed(documents, key, text, least).withColumn("_c", F.unhex("_c"))  # sixteen bytes while there are many
     members = docs.select(F.col("_id").alias(key), name("_c").alias("class_id"))
-    seeds = shelf.put(_seeds(docs, k, 2 * k))
-    shared = shelf.put(seeds.join(_several(seeds), "_h").distinct())
-    shelf.clear(seeds)
-    sizes = shared.groupBy("_h").agg(F.count_distinct("_c").alias("_n"), F.min("_c").alias("_first"), F.count(F.lit(1)).alias("_places"))
-    sized = shelf.put(shared.join(sizes, "_h"))
-    a = sized.select("_h", F.col("_c").alias("_a"), F.col("_p").alias("_pa"), "_n", "_first")
-    b = sized.select("_h", F.col("_c").alias("_b"), F.col("_p").alias("_pb"))
-    few = a.where(F.col("_n") <= crowd).join(b, "_h").where(F.col("_a") < F.col("_b"))
-    many = a.where((F.col("_n") > crowd) & (F.col("_a") == F.col("_first"))).join(b, "_h").where(F.col("_a") != F.col("_b"))
-    both = few.unionByName(many).select("_a", "_b", "_pa", "_pb")
-    anchors = both.groupBy("_a", "_b").agg(F.collect_list(F.struct("_pa", "_pb")).alias("_anchors")).where(F.size("_anchors") > 1)
+    whole = Window.partitionBy("_h")  # one shuffle of the seeds; a seed in many texts is read once, in order, and spills
+    seeds = _seeds(docs, k, 2 * k).withColumns({"_lo": F.min("_c").over(whole), "_hi": F.max("_c").over(whole)}).where(F.col("_lo") != F.col("_hi"))
+    places = seeds.groupBy("_c").agg(F.array_sort(F.collect_set(F.struct("_p", "_h"))).alias("_s"))
+    # A number instead of the class while seeds are paired: it is written once, so it stays.
+    known = shelf.put(places.select(F.monotonically_increasing_id().alias("_i"), "_c", F.col("_s._p").alias("_p"), F.col("_s._h").alias("_h")))
+    far = math.ceil(0.6 * least - k)
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out, size = [], 0
+            for i, p, h in zip(x["_i"], x["_p"], x["_h"], strict=True):
+                q, d, g = speaking_pairs(np.asarray(h, np.int64).view(np.uint64), np.asarray(p, np.int64), k, far)
+                out.append((np.full(len(q), i), q.view(np.int64), d.astype(np.int32), g.astype(np.int32)))
+                size += len(q)
+                if size > 200_000:  # handed on before they grow large
+                    yield pd.DataFrame(dict(zip(("_i", "_q", "_d", "_g"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(dict(zip(("_i", "_q", "_d", "_g"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    keyed = shelf.put(known.select("_i", "_p", "_h").mapInPandas(pair, "_i bigint, _q bigint, _d int, _g int"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    near = (F.col("x._i") < F.col("y._i")) & (F.col("x._d") + F.col("y._d") <= 10 * F.least("x._g", "y._g"))
+    candidates = shelf.put(x.join(y, F.col("x._q") == F.col("y._q")).where(near).select(F.col("x._i").alias("_i"), F.col("y._i").alias("_j")).distinct())
+    shelf.clear(keyed)
+    first = known.select("_i", F.col("_c").alias("_a"), F.col("_p").alias("_pa"), F.col("_h").alias("_ha"))
+    second = known.select(F.col("_i").alias("_j"), F.col("_c").alias("_b"), F.col("_p").alias("_pb"), F.col("_h").alias("_hb"))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
-            for ca, cb, found in zip(x["_a"], x["_b"], x["_anchors"], strict=True):
-                for _, path in chains([(r["_pa"], r["_pb"]) for r in found], k):
+            for ca, cb, pa, ha, pb, hb in zip(x["_a"], x["_b"], x["_pa"], x["_ha"], x["_pb"], x["_hb"], strict=True):
+                if ca > cb:
+                    ca, cb, pa, ha, pb, hb = cb, ca, pb, hb, pa, ha
+                at: dict[int, list[int]] = {}
+                for h, q in zip(hb.tolist(), pb.tolist(), strict=True):
+                    at.setdefault(h, []).append(q)
+                anchors = [(p, q) for h, p in zip(ha.tolist(), pa.tolist(), strict=True) for q in at.get(h, ())]
+                for _, path in chains(anchors, k):
                     reach = min(path[-1][0] - path[0][0], path[-1][1] - path[0][1]) + k
                     if reach >= 0.6 * least and covered([(p, p + k) for p, _ in path]) >= 0.2 * reach:
                         out.append((ca, cb, [{"a": p, "b": q} for p, q in path]))
             yield pd.DataFrame(out, columns=["_a", "_b", "_path"])
 
-    linked = shelf.put(anchors.mapInPandas(link, "_a binary, _b binary, _path array<struct<a:int,b:int>>"))
+    both = candidates.join(first, "_i").join(second, "_j").select("_a", "_b", "_pa", "_ha", "_pb", "_hb")
+    linked = shelf.put(both.mapInPandas(link, "_a binary, _b binary, _path array<struct<a:int,b:int>>"))
     wanted = linked.select(F.col("_a").alias("_c")).unionByName(linked.select(F.col("_b").alias("_c"))).distinct()
     texts = shelf.put(docs.join(wanted, "_c", "left_semi").groupBy("_c").agg(F.min_by("_text", "_id").alias("_text")))
     side = lambda c, t: texts.select(F.col("_c").alias(c), F.col("_text").alias(t))
@@ -497,5 +554,5 @@ def fuzzy_passages(documents: DataFrame, least: int = 300, k: int = 48, alike: f
             yield pd.DataFrame(out, columns=["class_a", "class_b", "begin_a", "end_a", "begin_b", "end_b", "edits", "similarity"])
 
     found = shelf.put(pairs.mapInPandas(compare, "class_a string, class_b string, begin_a int, end_a int, begin_b int, end_b int, edits int, similarity double"))
-    shelf.clear(shared, sized, linked, texts)
+    shelf.clear(known, candidates, linked, texts)
     return members, found.distinct()

@@ -182,6 +182,56 @@ def test_fuzzy_passages_find_planted_edits(spark, crowd):
     assert spans.shared_passages(df.where("doc_id != 2002"), 100, 60)[1].count() == 0
 
 
+def test_fuzzy_passages_of_crowds_equal_brute_force(spark):
+    """24 texts hold one passage with edits of their own and 12 of them another; all hold two phrases. Every pair comes out, as of all pairs of texts compared one by one."""
+    r, k, least = random.Random(31), 20, 120
+    rand = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    one, other, phrases = rand(200), rand(170), [rand(60), rand(50)]
+
+    def edited(t):
+        i = r.randrange(60, len(t) - 60)
+        return t[:i] + r.choice(["", "X", "XY"]) + t[i + 1 :]
+
+    texts = [rand(r.randrange(20, 90)) + edited(one) + rand(70) + phrases[i % 2] + rand(r.randrange(30, 300)) + (edited(other) if i % 2 else "") + phrases[1 - i % 2] for i in range(24)]
+    texts += [phrases[0] + rand(r.randrange(40, 400)) + phrases[1] + rand(30) for _ in range(10)] + [rand(150) + one[:90] + rand(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    members, found = spans.fuzzy_passages(df, least, k, crowd=3)
+    of = {m["class_id"]: m["doc_id"] for m in members.collect()}
+    got = sorted((of[x["class_a"]], of[x["class_b"]], x["begin_a"], x["end_a"], x["begin_b"], x["end_b"], x["edits"]) for x in found.collect())
+    want, names = set(), sorted(of)
+    seeds = {c: [(x, int(p)) for x, p in zip(*spans.seeds_of(texts[of[c]], k, 2 * k), strict=True)] for c in names}
+    for n, a in enumerate(names):
+        for b in names[n + 1 :]:
+            s, t = texts[of[a]], texts[of[b]]
+            for _, path in spans.chains([(p, q) for x, p in seeds[a] for y, q in seeds[b] if x == y], k):
+                reach = min(path[-1][0] - path[0][0], path[-1][1] - path[0][1]) + k
+                if reach >= 0.6 * least and spans.covered([(p, p + k) for p, _ in path]) >= 0.2 * reach:
+                    for a0, a1, b0, b1, e in spans.fuzzy_spans(s, t, path, k):
+                        if min(a1 - a0, b1 - b0) >= least and 1 - e / max(a1 - a0, b1 - b0) >= 0.9:
+                            want.add((of[a], of[b], a0, a1, b0, b1, e))
+    assert got == sorted(want)
+    assert len({(min(x[:2]), max(x[:2])) for x in got if max(x[:2]) < 24}) == 24 * 23 // 2
+
+
+@pytest.mark.parametrize("k", [48, 200])
+def test_speaking_pairs_lose_no_chain(k):
+    """Of any common seeds whose chains reach far enough, one pair stands in both texts with distances within ten gains."""
+    r, least, met = random.Random(k), 300, 0
+    far = max(0, int(0.6 * least) - k)
+    for _ in range(1500):
+        n, same = r.randrange(1, 14), r.random()
+        side = lambda: np.cumsum([r.randrange(1, r.choice([30, 120, 500])) for _ in range(n)])
+        ha = np.array(r.sample(range(10**6), n), np.uint64)
+        hb = np.array([x if r.random() < same else r.randrange(10**7, 10**8) for x in ha.tolist()], np.uint64)
+        pa, pb = side(), side()
+        paths = [path for _, path in spans.chains([(int(p), int(q)) for x, p in zip(ha, pa, strict=True) for y, q in zip(hb, pb, strict=True) if x == y], k)]
+        if any(min(path[-1][0] - path[0][0], path[-1][1] - path[0][1]) + k >= 0.6 * least for path in paths):
+            met += 1
+            a, b = ({int(q): (int(d), int(g)) for q, d, g in zip(*spans.speaking_pairs(h, p, k, far), strict=True)} for h, p in ((ha, pa), (hb, pb)))
+            assert any(a[q][0] + b[q][0] <= 10 * min(a[q][1], b[q][1]) for q in a.keys() & b.keys())
+    assert met > 100
+
+
 def test_shared_amounts(spark):
     p = "".join(random.Random(9).choice("abcdefg") for _ in range(400))
     df = spark.createDataFrame([(1, "x" * 50 + p), (2, p + "y" * 30), (3, "q" * 500), (4, None)], "doc_id bigint, text string")

@@ -165,7 +165,10 @@ class Reader:
         self._kept: dict[str, list[tuple[float, str]]] = {}
 
     def candidates(self, lower: str) -> list[tuple[float, str]]:
-        """(how often the word would be seen as `lower`, word) of every vocabulary word within one edit, or two where a form of seven signs has a sign no word has and none explains it."""
+        """(how often the word would be seen as `lower`, word) of every vocabulary word within one edit, or two where a form of seven signs has a sign no word has and none explains it.
+
+        However many they are, only those are left out that no neighbours could make `corrected` take.
+        """
         got = self._kept.get(lower)
         if got is None:
             found = LevenshteinAutomaton(lower, 1).words(self.trie)
@@ -173,7 +176,9 @@ class Reader:
             if len(lower) >= 7 and max(got, default=(0.0, ""))[0] < self.sure and any(not (c.isalpha() or _is_mark(c)) for c in lower):
                 two = LevenshteinAutomaton(lower, 2).words(self.trie)
                 got += [(self.words[w] * self.misreadings.of(path), w) for w, path in two.items() if len(path) == 2]
-            got = sorted(got, key=lambda x: (-x[0], x[1]))[:8]  # the ranking looks at the likeliest
+            # Neighbours count from a quarter to sixteenfold. What doesn't reach the likeliest or `sure` even so is never taken.
+            top, weakest = max(got, default=(0.0, ""))[0], self._chance(lower) * (0.25 if lower in self.words else 1.0)
+            got = sorted((x for x in got if 64 * x[0] > top and 16 * x[0] / weakest >= self.sure), key=lambda x: (-x[0], x[1]))
             if len(self._kept) < 500_000:
                 self._kept[lower] = got
         return got
@@ -197,7 +202,7 @@ class Reader:
         best: tuple[float, str] | None = None
         if len(lower) >= 3:
             fits = self._fit(left, lower, right) if own else 1.0
-            chance = own or max(0.03, 4.0 ** (4 - len(lower)))
+            chance = self._chance(lower)
             for rate, w in self.candidates(lower):
                 v = rate * self._fit(left, w, right) / (chance * fits)
                 if best is None or v > best[0]:
@@ -221,6 +226,9 @@ class Reader:
             at += 1
         return _cased(new, word) if changed else None
 
+    def _chance(self, lower: str) -> float:
+        return self.words.get(lower, 0) or max(0.03, 4.0 ** (4 - len(lower)))
+
     def _fit(self, left: str, word: str, right: str) -> float:
         out = 1.0
         for known, a, b in ((left in self.beside, left, word), (right in self.beside, word, right)):

@@ -98,6 +98,47 @@ def test_context_ranks(reader):
     assert none.corrected("bozt", "", "", False) is None
 
 
+class Whole(scans.Reader):
+    """Leaves no candidate out."""
+
+    def candidates(self, lower):
+        m = self.misreadings
+        got = [(self.words[w] * m.of((scans.difference(w, lower),)), w) for w in scans.LevenshteinAutomaton(lower, 1).words(self.trie) if w != lower]
+        if len(lower) >= 7 and max(got, default=(0.0, ""))[0] < self.sure and any(not (c.isalpha() or scans._is_mark(c)) for c in lower):
+            got += [(self.words[w] * m.of(p), w) for w, p in scans.LevenshteinAutomaton(lower, 2).words(self.trie).items() if len(p) == 2]
+        return sorted(got, key=lambda x: (-x[0], x[1]))
+
+
+def test_context_ranks_all_candidates():
+    """Ten words are as likely, the pair the corpus knows is with the last of them."""
+    words = {f"b{c}at": 100 for c in "cdefghijkl"}
+    m = scans.Misreadings({(c, "x"): 5.0 for c in "cdefghijkl"}, words, 1)
+    r = scans.Reader(words | {"river": 80}, {"river blat": 50}, {}, m, set())
+    assert r.corrected("bxat", "river", "") == "blat"
+
+
+def test_left_out_candidates_are_never_taken():
+    """Random vocabularies, forms and neighbours: the same as with every candidate looked at."""
+    r, crowds, taken = random.Random(4), 0, 0
+    for _ in range(60):
+        sign = lambda: r.choice("abcde")
+        words = {"".join(sign() for _ in range(r.choice([3, 4, 5, 8]))): int(10 ** r.uniform(0, 4)) for _ in range(250)}
+        names = sorted(words)
+        weights = {(a, b): float(r.choice([1, 5, 50, 500, 4000])) for a in "abcde" for b in ["x", "0", *"abcde"] if a != b and r.random() < 0.7}
+        m = scans.Misreadings(weights, words, 1)
+        pairs = {f"{r.choice(names)} {r.choice(names)}": 9 for _ in range(2000)}
+        here, whole = (kind(words, pairs, {}, m, set()) for kind in (scans.Reader, Whole))
+        for _ in range(150):
+            w = r.choice(names)
+            i = r.randrange(len(w))
+            form = r.choice([w, w[:i] + r.choice("x0abcde") + w[i + 1 :], w[:i] + "0" + w[i + 1 :][:-1] + "x"])
+            left, right, scanned = r.choice(names), r.choice([*names, ""]), r.random() < 0.7
+            want = whole.corrected(form, left, right, scanned)
+            crowds, taken = crowds + (len(whole.candidates(form)) > 8), taken + (want is not None)
+            assert here.corrected(form, left, right, scanned) == want
+    assert crowds > 500 and taken > 500
+
+
 def test_repair(spark, reader):
     noisy = "Weekly Bulletin Pada\nthe mobile rnedical unit tes-\nPage 4\nWeekly Bulletin Pada\nted sampl5s from homes near\nthe sch0ol hostel\n\n[5]\n"
     df = spark.createDataFrame([("n", noisy, 1), ("null", None, 1), ("e", "", 1), ("t", "1 | 2\n3", 1), ("t", "1 | 2\n3", 1)], "signal_id string, evidence_text string, noise int")
